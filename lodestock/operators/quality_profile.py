@@ -119,7 +119,7 @@ def _pieces(cells: dict, base_of: dict):
     return piece
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _at_ranks(nums: pd.Series, cnts: pd.Series, ranks: pd.Series) -> pd.Series:
     """The values at the given 0-based ranks of a piece; null for ranks outside it."""
     out = []
