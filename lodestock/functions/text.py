@@ -43,7 +43,8 @@ def parse_bool(text: Column) -> Column:
 
 
 def short_list(items: Column, n: int = 3) -> Column:
-    """``a, b, c (+2 more)``; null for null and empty lists."""
+    """``a, b, c (+2 more)``; nulls in the list don't count; null for null and empty lists."""
+    items = F.array_compact(items)
     head = F.array_join(F.slice(items, 1, n), ", ")
     return F.when(F.size(items) > n, F.concat(head, F.lit(" (+"), (F.size(items) - n).cast("string"), F.lit(" more)"))).when(F.size(items) > 0, head)
 

@@ -47,8 +47,8 @@ def filter_sort_limit(
 def list_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """(value, n) of a column by count, then value; elements of a list column count each."""
     c = F.col(f"`{column}`")
-    values = F.explode(c) if isinstance(df.schema[column].dataType, T.ArrayType) else c
-    counts = df.select(values.cast("string").alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    values = F.explode(c.cast("array<string>")) if isinstance(df.schema[column].dataType, T.ArrayType) else c.cast("string")
+    counts = df.select(values.alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     out = counts.orderBy(F.col("n").desc(), "value")
     return out.limit(limit) if limit else out
 
@@ -56,8 +56,8 @@ def list_values(df: DataFrame, column: str, limit: int | None = None) -> DataFra
 def list_values_matching(df: DataFrame, column: str, query: str, order: str) -> DataFrame:
     """(value, n) of values that hold the query or lie in it, whatever the case; the spelling first by ``order`` stands for all."""
     c = F.col(f"`{column}`")
-    values = F.explode(c) if isinstance(df.schema[column].dataType, T.ArrayType) else c
-    rows = df.select(values.cast("string").alias("label"), F.col(order).alias("_o")).where("label is not null").withColumn("key", F.lower(F.trim("label")))
+    values = F.explode(c.cast("array<string>")) if isinstance(df.schema[column].dataType, T.ArrayType) else c.cast("string")
+    rows = df.select(values.alias("label"), F.col(order).alias("_o")).where("label is not null").withColumn("key", F.lower(F.trim("label")))
     q = query.strip().lower()
     hits = rows.where(F.contains(F.col("key"), F.lit(q)) | F.contains(F.lit(q), F.col("key")))
     return hits.groupBy("key").agg(F.min_by("label", F.struct("_o", "label")).alias("value"), F.count(F.lit(1)).alias("n")).select("value", "n").orderBy(F.col("n").desc(), "value")

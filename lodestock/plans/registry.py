@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from lodestock.plans import problems
+from lodestock.plans import catalogue, common, constraints, problems, profiling  # noqa: F401 - the modules register their queries
 
-MODULES = [problems]
-QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
-ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+QUERIES = common.QUERIES | problems.QUERIES
+ORACLES = common.ORACLES | problems.ORACLES
