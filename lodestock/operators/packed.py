@@ -51,7 +51,7 @@ class PackedGrammar:
         self.bare = re.compile(rf"[^{d}]+")
         # Cells without quote, bracket or escape: a list of labels and bare values needs no look at each character.
         self.plain = re.compile(rf"\s*((?:{label})(?=\s*(?:[{d}]|\Z))|[^{d}]+)", re.IGNORECASE)
-        self.special = re.compile(rf"[{opening}{re.escape(''.join(BRACKETS))}\\”’»]")
+        self.special = re.compile(rf"[{opening}{re.escape(''.join(BRACKETS))}{close}\\”’»]")
         # An apostrophe between letters is part of a word, no quote.
         self.apostrophe = re.compile(r"(?<=\w)'(?=\w|\s\w)")
         self.quoted_label = re.compile(rf"(?:{label})", re.IGNORECASE)
