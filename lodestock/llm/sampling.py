@@ -47,7 +47,8 @@ def _share(quota: int, nodes: list[_Node]) -> list[int]:
         # Without weight a node keeps its floor until the weighted ones are full.
         full = sum(t if w else f for f, t, w in zip(floors, tops, weights))
         if full < quota:
-            weights = [w or 1e-9 for w in weights]
+            weights = [w or 1e-9 * max(weights) for w in weights]
+        weights = [w and max(w, 1e-9 * max(weights)) for w in weights]  # the search below needs comparable scales
         lo, hi = 0.0, max(t / w for t, w in zip(tops, weights) if w) + 1.0
 
         def at(scale: float) -> list[float]:
@@ -60,6 +61,10 @@ def _share(quota: int, nodes: list[_Node]) -> list[int]:
     out = [min(int(math.floor(x + 1e-9)), t) for x, t in zip(exact, tops)]
     order = sorted(range(len(nodes)), key=lambda i: (-(exact[i] - out[i]), i))
     left = quota - sum(out)
+    while left < 0:  # rounding up by the tolerance
+        i = next(i for i in reversed(order) if out[i] > 0)
+        out[i] -= 1
+        left += 1
     while left > 0:
         step = [i for i in order if out[i] < tops[i]]
         if not step:
