@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from lodestock.model import Bracket, ConstraintSpec
-from lodestock.operators import calibrate, configgen, desc, profile, resolve, tasks
+from lodestock.operators import assembly, calibrate, configgen, desc, profile, resolve, tasks
 from lodestock.plans.common import CAT, TASKS, catalog, query, tasks25
 from lodestock.sources.tables import table
 from lodestock.streaming import results
@@ -450,3 +450,48 @@ def x_cube(spark, folder):
 def m_task_table(spark, folder):
     """The tasks that evaluation queries use."""
     return tasks25(spark, folder).select("task_id", "price_max", F.col("size_max"), "difficulty")
+
+
+@query("""select task_id, epoch_us(ingested_at) ingested_us, array_to_string(list_sort(list_distinct(list_filter(list_transform(map_values(user_profile.hard_constraints), lambda v: lower(trim(v))),
+  lambda v: v is not null and length(v) >= 3 and v not in ('true', 'false', 'none', 'null') and try_cast(v as double) is null))), '|') terms from tasks where user_profile.hard_constraints is not null""")
+def m_forbidden_terms(spark, folder):
+    """Words of constraint values that a query must not give away."""
+    t = table(spark, folder, "tasks").where("user_profile.hard_constraints is not null")
+    terms = F.array_sort(assembly.forbidden_terms(F.col("user_profile.hard_constraints")))
+    return t.select("task_id", F.unix_micros("ingested_at").alias("ingested_us"), F.array_join(terms, "|").alias("terms"))
+
+
+@query("""select game_id, concat_ws(' | ', name, case when developer is not null then 'by: ' || developer end, case when release_date is not null then 'on: ' || strftime(release_date, '%Y-%m-%d') end,
+  case when average_playtime_forever >= 60 then 'plays: ' || printf('%,.1f', ((average_playtime_forever + 3) // 6) / 10.0::double) || ' h' when average_playtime_forever is not null then 'plays: ' || average_playtime_forever::varchar || ' min' end) line
+  from games """)
+def c_one_line(spark, folder):
+    """Products in one line."""
+    g = table(spark, folder, "games")
+    line = assembly.one_line({"": F.col("name"), "by": F.col("developer"), "on": assembly.day(F.col("release_date")), "plays": assembly.duration(F.col("average_playtime_forever"))})
+    return g.select("game_id", line.alias("line"))
+
+
+@query("""with t as (select e.key as attribute from (select unnest(map_entries(user_profile.hard_constraints)) e from tasks where user_profile.hard_constraints is not null))
+select attribute, case when contains(attribute, 'max') then 'lower ' || replace(attribute, '_', ' ') when contains(attribute, 'min') then 'higher ' || replace(attribute, '_', ' ') else replace(attribute, '_', ' ') || ' = x' end as label, count(*) n from t group by 1, 2""")
+def c_preference_label(spark, folder):
+    """Preferences as text."""
+    t = table(spark, folder, "tasks").select(F.explode("user_profile.hard_constraints").alias("attribute", "v"))
+    direction = F.when(F.contains("attribute", F.lit("max")), "minimize").when(F.contains("attribute", F.lit("min")), "maximize").otherwise("match")
+    return t.groupBy("attribute", assembly.preference_label(F.col("attribute"), direction, F.lit("x")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with o as (select distinct brand from laptops where brand is not null) select brand, row_number() over (order by brand) pos, case when lower(brand) in ('odrin', 'ilyx') then 'renamed' else brand end as recoded from o""")
+def c_recode(spark, folder):
+    """Values put into other words."""
+    from pyspark.sql import Window
+
+    o = table(spark, folder, "laptops").where("brand is not null").select("brand").distinct()  # a few brands
+    words = {w: "renamed" for b in ("Odrin", "Ilyx") for w in (b, b.lower(), b.upper(), b.swapcase())}
+    return o.select("brand", F.row_number().over(Window.orderBy("brand")).alias("pos"), assembly.recoded(F.col("brand"), words).alias("recoded"))
+
+
+@query(" union all ".join(f"select '{c}' column_name, '{t}' dtype, round(avg(({c} is not null)::int), 6) filled, case when min({c}::varchar) = max({c}::varchar) then min({c}::varchar) else min({c}::varchar) || '|' || max({c}::varchar) end examples from cars" for c, t in (("make", "string"), ("year", "int"), ("popularity", "bigint"))))
+def m_column_context(spark, folder):
+    """Columns with their type, share filled and examples."""
+    out = assembly.column_context(table(spark, folder, "cars").select("make", "year", "popularity"))
+    return _r6(out, "filled").withColumn("examples", F.array_join("examples", "|"))
