@@ -84,7 +84,7 @@ def label(value: Column, size: int = 200) -> Column:
 def unfence(text: Column) -> Column:
     """The text inside a fenced code block, or the text itself."""
     inner = F.regexp_extract(text, r"(?s)```[A-Za-z]*\s*\n(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(text))
+    return F.regexp_replace(F.when(inner != "", inner).otherwise(text), r"^\s+|\s+$", "")
 
 
 def human(value: Column, precision: int = 0) -> Column:

@@ -32,10 +32,10 @@ class ToolBox:
         self.domain, self.catalog = domain, catalog
         self.tools = {t.name: t for t in [*self._generic(), *plugins]}
 
-    def __call__(self, name: str, **arguments) -> DataFrame:
-        if name not in self.tools:
-            raise KeyError(f"no tool {name!r}; there are {sorted(self.tools)}")
-        return self.tools[name].run(**arguments)
+    def __call__(self, tool: str, /, **arguments) -> DataFrame:
+        if tool not in self.tools:
+            raise KeyError(f"no tool {tool!r}; there are {sorted(self.tools)}")
+        return self.tools[tool].run(**arguments)
 
     def _generic(self) -> list[Tool]:
         d, df = self.domain, self.catalog
