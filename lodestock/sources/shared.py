@@ -18,7 +18,7 @@ _own: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables; set for the session where it has none."""
+    """Folder for intermediate tables: the session's, or one of this process where the session names none."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -26,7 +26,6 @@ def shared_root(spark: SparkSession) -> str:
             _own = tempfile.mkdtemp(prefix="lodestock-")
             atexit.register(shutil.rmtree, _own, True)
         root = "file://" + _own
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
