@@ -129,3 +129,17 @@ def triggered(messages: DataFrame, triggers: dict[str, list[str]], text: str = "
         F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(k.lower())) for k in words]), F.lit(name)) for name, words in sorted(triggers.items()) if words
     ]
     return messages.withColumn("triggers", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>"))
+
+
+def revealed(messages: DataFrame, plan: DataFrame, triggers: dict[str, list[str]], conversation: str = "task_id") -> DataFrame:
+    """(task_id, n_keys, n_revealed, completeness): which keys of a plan (task_id, trigger, key) the agent's messages drew out.
+
+    Keys without a trigger are told at once. A task without keys has no row.
+    """
+    fired = triggered(messages, triggers).select(conversation, F.explode("triggers").alias("trigger")).distinct().withColumn("fired", F.lit(1))
+    keys = plan.join(fired, [conversation, "trigger"], "left")
+    told = F.col("trigger").isNull() | F.col("fired").isNotNull()
+    per = keys.groupBy(conversation, "key").agg(F.max(told).alias("told"))
+    return per.groupBy(conversation).agg(
+        F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("told")).alias("n_revealed"), F.avg(F.col("told").cast("double")).alias("completeness")
+    )

@@ -63,6 +63,14 @@ def list_values_matching(df: DataFrame, column: str, query: str, order: str) ->
     return hits.groupBy("key").agg(F.min_by("label", F.struct("_o", "label")).alias("value"), F.count(F.lit(1)).alias("n")).select("value", "n").orderBy(F.col("n").desc(), "value")
 
 
+def list_values_similar(df: DataFrame, column: str, query: str, least: float = 0.5) -> DataFrame:
+    """(value, n, ratio) of values alike the query by matching blocks, for when none holds it; compares distinct values only."""
+    from lodestock.operators.resolve import similarity
+
+    values = list_values(df, column).withColumn("ratio", similarity(F.col("value"), query.strip()))
+    return values.where(F.col("ratio") >= least).orderBy(F.col("ratio").desc(), F.col("n").desc(), "value")
+
+
 def describe_number(df: DataFrame, column: str) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max of a number column."""
     x = number(F.col(f"`{column}`"), df.schema[column].dataType)

@@ -410,6 +410,14 @@ def c_fuzzy_ratio(spark, folder):
     return b.select("brand", F.round(resolve.similarity(F.col("brand"), "brightmor"), 6).alias("ratio"))
 
 
+@query()
+def x_list_values_fuzzy(spark, folder):
+    """Brands alike a misspelt one; the measure has no SQL function, tested apart."""
+    from lodestock.operators import explore
+
+    return _r6(explore.list_values_similar(table(spark, folder, "laptops"), "brand", "brihgtmor"), "ratio")
+
+
 @query("select date_trunc('day', ts::timestamp) as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
 def x_tumbling(spark, folder):
     """Daily windows of events, in batch."""
@@ -495,3 +503,15 @@ def m_column_context(spark, folder):
     """Columns with their type, share filled and examples."""
     out = assembly.column_context(table(spark, folder, "cars").select("make", "year", "popularity"))
     return _r6(out, "filled").withColumn("examples", F.array_join("examples", "|"))
+
+
+@query("""with m as (select lower(trim(source)) task_id, contains(lower(text), 'battery') b, contains(lower(text), 'weight') or contains(lower(text), 'light') w from documents where text is not null),
+f as (select task_id, bool_or(b) b, bool_or(w) w from m group by 1) select task_id, 3::bigint n_keys, 1 + b::int + w::int n_revealed, round((1 + b::int + w::int) / 3.0::double, 6) completeness from f where task_id is not null""")
+def g_elicitation_update(spark, folder):
+    """Keys drawn out by trigger words: documents play the messages, their sources the conversations."""
+    from lodestock.operators import evaluate
+
+    d = table(spark, folder, "documents").where("text is not null").select(F.lower(F.trim("source")).alias("task_id"), "text").where("task_id is not null")
+    keys = spark.createDataFrame([("power", "battery_min"), ("weight", "weight_max"), (None, "brand")], "trigger string, key string")
+    plan = d.select("task_id").distinct().crossJoin(F.broadcast(keys))  # three keys
+    return _r6(evaluate.revealed(d, plan, {"power": ["battery"], "weight": ["weight", "light"]}), "completeness")

@@ -98,3 +98,12 @@ def test_policies(spark):
     assert policies.proportional({"a": 1, "b": 1, "c": 1}, 10) == {"a": 4, "b": 3, "c": 3} and policies.proportional({}, 3) == {}
     with pytest.raises(ValueError):
         policies.task_pools(pools, pools.select("task_id"), "pid", {}, max_tasks=1)
+
+
+def test_elicitation(spark):
+    messages = spark.createDataFrame([(1, "What BATTERY life?"), (1, None), (2, "hello")], "task_id int, text string")
+    plan = spark.createDataFrame([(1, "power", "a"), (1, "weight", "b"), (1, None, "c"), (2, "power", "a")], "task_id int, trigger string, key string")
+    got = {r.task_id: (r.n_keys, r.n_revealed, round(r.completeness, 3)) for r in E.revealed(messages, plan, {"power": ["battery"], "weight": ["heavy"], "none": []}).collect()}
+    assert got == {1: (3, 2, 0.667), 2: (1, 0, 0.0)}
+    row = spark.range(1).select(E.elicitation(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))).alias("x"), E.elicitation(F.array().cast("array<string>"), F.array(F.lit("b"))).alias("y")).first()
+    assert (row.x, row.y) == (0.5, 1.0)
