@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestock.operators.scoring import reward
 
+PARTS = 64
 RANKING = ("ndcg_1", "ndcg_3", "ndcg_5", "ndcg_n", "graded_precision", "graded_recall", "graded_f1")
 
 
@@ -47,13 +48,18 @@ def ranking_metrics(recs: DataFrame, pools: DataFrame, task: str = "task_id", po
         F.count(F.lit(1)).alias("n"), F.sum("rel").alias("captured"), *[_gain(F.col("rel"), F.col(position), k).alias(f"dcg_{k}") for k in (1, 3, 5)],
         F.sum(F.col("rel") / F.log2(F.col(position) + 1.0)).alias("dcg_n"),
     )
-    # The ideal order needs the top n of each pool only; Spark limits within the window's sort.
-    most = mine.select(task, "n")
-    w = Window.partitionBy(task).orderBy(F.col("utility").desc(), F.col(product))
-    ideal = pools.join(most, task).withColumn("place", F.row_number().over(w)).groupBy(task).agg(
-        F.sum("utility").alias("total"), F.max("utility").alias("max_rel"), *[_gain(F.col("utility"), F.col("place"), k).alias(f"idcg_{k}") for k in (1, 3, 5)],
-        _gain(F.col("utility"), F.col("place"), F.col("n")).alias("idcg_n"),
-    )
+    # The ideal order needs the top n of each pool only. Pools are ranked in parts first, so that one task's pool,
+    # however large, is not sorted by one Spark task; what is left per pool is a few times n.
+    most = mine.select(task, F.greatest(F.col("n"), F.lit(5)).alias("n"))
+    order = [F.col("utility").desc(), F.col(product)]
+    parts = pools.select(task, product, "utility").join(most, task).withColumn("part", F.pmod(F.xxhash64(product), F.lit(PARTS)))
+    first = parts.withColumn("place", F.row_number().over(Window.partitionBy(task, "part").orderBy(*order))).where("place <= n")
+    tops = first.withColumn("place", F.row_number().over(Window.partitionBy(task).orderBy(*order)))
+    n = mine.select(task, F.col("n").alias("n_"))
+    ideal = tops.join(n, task).groupBy(task).agg(
+        *[_gain(F.col("utility"), F.col("place"), k).alias(f"idcg_{k}") for k in (1, 3, 5)], _gain(F.col("utility"), F.col("place"), F.col("n_")).alias("idcg_n")
+    )
+    ideal = ideal.join(pools.groupBy(task).agg(F.sum("utility").alias("total"), F.max("utility").alias("max_rel")), task)
     joined = mine.join(ideal, task, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     p = zero(F.when(F.col("max_rel") > 0, F.col("captured") / (F.col("n") * F.col("max_rel"))))

@@ -11,6 +11,7 @@ from lodestock.operators import evaluate as E
 from lodestock.operators import explore, policies, scoring, search
 from lodestock.operators.predicates import constraint_filter
 from lodestock.plans.common import CAT, POOLS, RECS, TASKS, catalog, query, recs, tasks25
+from lodestock.sources.shared import keep
 from lodestock.sources.tables import table
 
 REGISTRY = [
@@ -159,7 +160,8 @@ def w_rank_best_ties(spark, folder):
 def _pools(spark, folder):
     found = policies.task_pools(catalog(spark, folder), tasks25(spark, folder), "p_partkey", {"p_retailprice": "price_max", "p_size": "size_max"})
     scored = scoring.score_pool(found, PREFS, ["task_id"])
-    return scored.select("task_id", "difficulty", F.col("p_partkey").alias("pid"), "utility")
+    # Rewards, ideal orders and violations all read the pools: they are made once.
+    return keep(scored.select("task_id", "difficulty", F.col("p_partkey").alias("pid"), "utility"), "pools")
 
 
 _REWARD = f"""with {CAT}, {TASKS}, {RECS}, {POOLS}, r as (select task_id, min(utility) low, max(utility) high from pools group by 1),
