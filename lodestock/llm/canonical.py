@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestock.sources.shared import small
+from lodestock.sources.shared import keep, small
 
 #: Letters of other scripts that look like Latin ones, and letters read for digits.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕ" + "αεικνορτυχ", "abekmhopctyxijs" + "aeiknoptux")
@@ -205,8 +205,9 @@ def map_values(values: DataFrame, entries: DataFrame, *, threshold: float = 0.55
             )
 
     distinct = values.select("attribute", "value").where(r"value is not null and not value rlike '(?U)^\\s*$'").distinct()
-    cleaned = distinct.withColumn("cleaned", _clean("value"))
-    resolved = cleaned.select("attribute", "cleaned").distinct().mapInPandas(resolve, "attribute string, cleaned string, canon_id long, score double, margin double")
+    cleaned = keep(distinct.withColumn("cleaned", _clean("value")), "cleaned")  # read twice
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work each
+    resolved = cleaned.select("attribute", "cleaned").distinct().repartition(parts).mapInPandas(resolve, "attribute string, cleaned string, canon_id long, score double, margin double")
     labels = entries.where("label is not null").groupBy("attribute", F.col("label").alias("value")).agg(F.min("canon_id").alias("own"))
     return (
         cleaned.join(resolved, ["attribute", "cleaned"])
