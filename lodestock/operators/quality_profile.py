@@ -300,6 +300,7 @@ def quality_profile(
         (F.col("n") - F.col("top_cnt")).alias("n_off_form"),
         "ks", "n_outside", "base_form", "base_form_cnt", "base_form_held", "share_distance",
     )
+    one = keep(one, "profile")  # one row per load and column; the comparison below reads it twice
     base = one.select(
         F.col("load_id").alias("base_id"), "column_name",
         F.col("rows").alias("b_rows"), F.col("n").alias("b_n"), F.col("null_rate").alias("b_null_rate"),
