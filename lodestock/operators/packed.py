@@ -21,7 +21,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,8 +165,29 @@ def split_packed(
     cell gives no row; repeated values and repeated keys come out each time. ``min_values`` keeps
     only cells with that many values. No shuffle: the scan reads key and cell only.
     """
-    cells = df.select(F.col(key).alias("row_id"), F.col(cell).alias("cell")).where("cell is not null")
-    parsed = cells.select("row_id", parse_packed(F.col("cell"), vocabulary, delimiters).alias("p"))
-    return parsed.where(F.size("p.items") >= min_values).select(
-        "row_id", F.size("p.items").alias("n_values"), F.col("p.flags").alias("flags"), F.inline("p.items")
-    )
+    cells = df.select(F.col(f"`{key}`").alias("row_id"), F.col(f"`{cell}`").cast("string").alias("cell")).where("cell is not null")
+    dtype = cells.schema["row_id"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = PackedGrammar(vocabulary, delimiters)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Cells repeat: each different one of the batch is parsed once, rows take its values by index.
+            coded = batch.column(1).dictionary_encode()
+            parsed = [grammar.parse(c) for c in coded.dictionary.to_pylist()]
+            of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.array([len(v) if len(v) >= min_values else 0 for v, _ in parsed], np.int64)
+            start = np.cumsum([0, *[len(v) for v, _ in parsed]])[:-1]
+            n = size[of]
+            row = np.repeat(np.arange(len(of)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            values = pa.array([x for v, _ in parsed for x in v], pa.string())
+            flags = pa.array([f for _, f in parsed], pa.list_(pa.string()))
+            for at in range(0, len(row), 50_000):  # a batch of long cells makes many rows
+                r, k = row[at : at + 50_000], place[at : at + 50_000]
+                c = of[r]
+                columns = [batch.column(0).take(pa.array(r)), pa.array(size[c].astype(np.int32)), flags.take(pa.array(c)), pa.array(k + 1), values.take(pa.array(start[c] + k))]
+                yield pa.RecordBatch.from_arrays(columns, ["row_id", "n_values", "flags", "pos", "value"])
+
+    return cells.mapInArrow(split, f"row_id {dtype}, n_values int, flags array<string>, pos long, value string")
