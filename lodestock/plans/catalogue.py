@@ -10,7 +10,7 @@ from lodestock.model import ConstraintSpec, Preference
 from lodestock.operators import evaluate as E
 from lodestock.operators import explore, policies, scoring, search
 from lodestock.operators.predicates import constraint_filter
-from lodestock.plans.common import CAT, POOLS, RECS, TASKS, catalog, query, recs, tasks25
+from lodestock.plans.common import CAT, ORACLES, POOLS, RECS, RECS_ALL, TASKS, catalog, query, recs, recs_all, tasks25
 from lodestock.sources.shared import keep
 from lodestock.sources.tables import table
 
@@ -221,8 +221,8 @@ def w_dedup_recs(spark, folder):
     return E.dedup_recommendations(r)
 
 
-def _results(spark, folder):
-    r, pools = recs(spark, folder), _pools(spark, folder)
+def _results(spark, folder, r):
+    pools = _pools(spark, folder)
     out = E.evaluate(r, pools, _violating(r, pools), catalog(spark, folder), "p_partkey")
     return out.join(tasks25(spark, folder).select("task_id", "difficulty"), "task_id", "right")
 
@@ -231,7 +231,48 @@ def _results(spark, folder):
 select difficulty, count(*) n_tasks, round(avg(coalesce(reward, 0)), 6) reward, round(coalesce(avg(csr), 0), 6) csr from res group by grouping sets ((), (difficulty))""")
 def g_difficulty_rollup(spark, folder):
     """Results over all tasks and by difficulty."""
-    out = E.by_difficulty(_results(spark, folder), ["reward"], ["csr"])
+    out = E.by_difficulty(_results(spark, folder, recs(spark, folder)), ["reward"], ["csr"])
+    return out.select("difficulty", "n_tasks", F.round("reward", 6).alias("reward"), F.round("csr", 6).alias("csr"))
+
+
+def _whole(sql):
+    """The SQL of a query over the first five recommendations, over all of them."""
+    return sql.replace(RECS, RECS_ALL)
+
+
+@query(_whole(ORACLES["w_reward"]))
+def w_reward_all(spark, folder):
+    """Reward of all of each task's recommendations."""
+    out = E.rewards(recs_all(spark, folder), _pools(spark, folder))
+    return out.select("task_id", F.round("best", 6).alias("best"), F.round("reward", 6).alias("reward"))
+
+
+@query(_whole(ORACLES["w_csr"]))
+def w_csr_all(spark, folder):
+    """Constraint satisfaction of all of each task's recommendations."""
+    r, pools = recs_all(spark, folder), _pools(spark, folder)
+    out = E.satisfaction(r, _violating(r, pools), catalog(spark, folder), id_column="p_partkey")
+    return out.withColumn("csr", F.round("csr", 6))
+
+
+@query(_whole(ORACLES["w_ndcg"]))
+def w_ndcg_all(spark, folder):
+    """NDCG of all of each task's recommendations; only ndcg_1, _3 and _5 cut the list."""
+    out = E.ranking_metrics(recs_all(spark, folder), _pools(spark, folder))
+    return out.select("task_id", "num_recommendations", *[F.round(c, 6).alias(c) for c in ("ndcg_1", "ndcg_3", "ndcg_5", "ndcg_n")])
+
+
+@query(_whole(ORACLES["w_graded_prf"]))
+def w_graded_prf_all(spark, folder):
+    """Graded precision, recall and F1 of all of each task's recommendations."""
+    out = E.ranking_metrics(recs_all(spark, folder), _pools(spark, folder))
+    return out.select("task_id", *[F.round(c, 6).alias(c) for c in ("graded_precision", "graded_recall", "graded_f1")])
+
+
+@query(_whole(ORACLES["g_difficulty_rollup"]))
+def g_difficulty_rollup_all(spark, folder):
+    """Results of all recommendations over all tasks and by difficulty."""
+    out = E.by_difficulty(_results(spark, folder, recs_all(spark, folder)), ["reward"], ["csr"])
     return out.select("difficulty", "n_tasks", F.round("reward", 6).alias("reward"), F.round("csr", 6).alias("csr"))
 
 
