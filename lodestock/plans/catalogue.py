@@ -72,6 +72,12 @@ def x_details_unpivot(spark, folder):
     return explore.details(table(spark, folder, "part").where("p_partkey <= 20"), "p_partkey", ["p_name", "p_brand", "p_size"])
 
 
+@query("select * from (select p_partkey, unnest(['p_name', 'p_brand', 'p_size']) as label, unnest([p_name, p_brand, p_size::varchar]) as value, unnest([0, 1, 2])::int place from part) where value is not null")
+def x_details_unpivot_all(spark, folder):
+    """Details of every part as (label, value) rows."""
+    return explore.details(table(spark, folder, "part"), "p_partkey", ["p_name", "p_brand", "p_size"])
+
+
 @query("""select (select p_partkey from part where p_partkey in (3, 14, 15) order by p_retailprice, p_partkey limit 1) cheapest, (select p_partkey from part where p_partkey in (3, 14, 15) order by p_size desc, p_partkey limit 1) largest""")
 def x_compare_highlights(spark, folder):
     """Extremes among compared items."""

@@ -12,3 +12,10 @@ def test_every_part_is_recommended(spark, small):
     assert QUERIES["w_csr_all"](spark, small).agg(F.sum("n")).first()[0] == parts
     ranked = QUERIES["w_ndcg_all"](spark, small).agg(F.sum("num_recommendations"), F.max("num_recommendations")).first()
     assert ranked[0] == parts and ranked[1] > 5
+
+
+def test_details_of_every_part(spark, small):
+    part = table(spark, small, "part")
+    out = QUERIES["x_details_unpivot_all"](spark, small)
+    assert out.count() == part.select(F.sum(sum(F.col(c).isNotNull().cast("int") for c in ("p_name", "p_brand", "p_size")))).first()[0]
+    assert out.where("p_partkey > 20").select("p_partkey").distinct().count() == part.where("p_partkey > 20").count() > 0
