@@ -122,6 +122,14 @@ def c_formatting(spark, folder):
     return g.select("game_id", X.price(F.col("price")).alias("price_label"), X.short_list(F.col("genres")).alias("genre_label"))
 
 
+@query(r"""select game_id, case when price = 0 then 'Free to Play' when price is not null then '$' || printf('%,.2f', price) end price_label,
+  case when len(g) > 3 then array_to_string(g[1:3], ', ') || ' (+' || (len(g) - 3)::varchar || ' more)' when len(g) > 0 then array_to_string(g, ', ') end genre_label
+  from (select *, list_filter(genres, lambda x: x is not null) g from games)""")
+def c_formatting_all(spark, folder):
+    """Prices, whatever their size or absent, and shortened lists of every game as text."""
+    return table(spark, folder, "games").select("game_id", X.price(F.col("price")).alias("price_label"), X.short_list(F.col("genres")).alias("genre_label"))
+
+
 @query("""with r as (select game_id, coalesce(positive, 0) p, coalesce(positive, 0) + coalesce(negative, 0) n from games)
 select game_id, case when n > 0 then floor(100.0::double * p / n + 0.5)::bigint::varchar || '% positive of ' ||
   case when n >= 1e6 then printf('%.1f', floor(n / 1e5) / 10) || 'M' when n >= 1e3 then printf('%.1f', floor(n / 1e2) / 10) || 'K' else n::varchar end end reviews from r""")
