@@ -123,6 +123,12 @@ def over_seeds(results: DataFrame, numbers: list[str], seed: str = "seed") -> Da
     return per.agg(*aggs)
 
 
+def costs(results: DataFrame, agent: str = "agent_cost", simulator: str = "user_simulator_cost") -> DataFrame:
+    """One row: cost of agents, of simulated users and of both over all results; an absent cost is 0."""
+    a, u = (F.coalesce(F.sum(c), F.lit(0.0)) for c in (agent, simulator))
+    return results.agg(a.alias(agent), u.alias(simulator), (a + u).alias("total_cost"))
+
+
 def elicitation(total: Column, revealed: Column) -> Column:
     """Share of the keys that were revealed; 1 if there are none."""
     return F.when(F.size(total) > 0, F.size(F.array_intersect(total, revealed)) / F.size(F.array_distinct(total))).otherwise(1.0)
