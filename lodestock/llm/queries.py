@@ -17,7 +17,7 @@ TYPED = ("processor", "gpu_type")
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Targets that the tasks of the plan's domain cannot meet."""
-    quotas = sampling.allocation(table(spark, folder, "tasks"), table(spark, folder, "sampling_targets"))
+    quotas, _ = _drawn(spark, folder)
     return quotas.where("below_min or below_target").select("plan_id", "category")
 
 
@@ -77,15 +77,20 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"))
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    # The assignment is written, else the optimiser leaves out whatever of it a report doesn't select.
+    sources, assigned = mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return sources, keep(assigned, "assigned")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sources of a mix that cannot fill their share."""
-    sources, assigned = mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
-    return mixing.report(sources, assigned).where("cannot_fill").select("mix_id", "source")
+    return mixing.report(*_mixed(spark, folder)).where("cannot_fill").select("mix_id", "source")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual shares of every source of every mix."""
-    return mixing.report(*mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
+    return mixing.report(*_mixed(spark, folder))
 
 
 def p7_order(spark: SparkSession, folder: str) -> DataFrame:
