@@ -64,25 +64,37 @@ def attribute_values(long: DataFrame, top: int = 15) -> DataFrame:
     return per.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
 
 
-def representatives(vectors: DataFrame, k: int, id_column: str, embedding: str = "embedding", seeds: int = 3) -> DataFrame:
-    """The rows nearest to the centroids of the best of several k-means runs (by inertia), each once.
+def representatives(vectors: DataFrame, k: int, id_column: str, embedding: str = "embedding", seeds: int = 10, batches: int = 1) -> DataFrame:
+    """(id, batch): the rows nearest to the centroids of the best of several k-means runs (by inertia), each once.
 
+    Null and zero vectors are left out; fewer rows than k give fewer clusters. Batches are equal runs of
+    representatives in the order of their clusters, the last takes the rest.
     k is small by use (prompt examples) and checked: centroids are held by the driver.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
-    if not 1 <= k <= 1000:
-        raise ValueError("k must lie between 1 and 1000")
+    if not 1 <= batches <= k <= 1000:
+        raise ValueError("k must lie between 1 and 1000 and batches between 1 and k")
     rows = vectors.where(F.col(embedding).isNotNull()).select(id_column, F.transform(embedding, lambda x: x.cast("double")).alias("_v"))
-    feats = rows.withColumn("features", array_to_vector("_v")).cache()
-    best = min((KMeans(k=k, seed=s).fit(feats) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
+    feats = rows.where(F.exists("_v", lambda x: x != 0)).withColumn("features", array_to_vector("_v")).cache()
+    k = min(k, feats.count())
+    if not k:
+        return feats.select(id_column, F.lit(0).alias("batch"))
+    if k == 1:  # KMeans takes two clusters or more
+        centers = [feats.agg(Summarizer.mean(F.col("features"))).first()[0].toArray()]
+    else:
+        centers = min((KMeans(k=k, seed=42 + s).fit(feats) for s in range(seeds)), key=lambda m: m.summary.trainingCost).clusterCenters()
     near = []
-    for center in best.clusterCenters():
+    for center in centers:
         d = F.aggregate(F.zip_with("_v", F.array(*[F.lit(float(x)) for x in center]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
         near.append(F.min(F.struct(d.alias("d"), F.col(id_column).alias("id"))))
-    row = rows.agg(F.array(*near).alias("n")).select(F.explode(F.array_distinct(F.transform("n", lambda x: x["id"]))).alias(id_column))
-    return row
+    ids = feats.agg(F.array(*near).alias("n")).select(F.array_distinct(F.transform("n", lambda x: x["id"])).alias("ids"))
+    each = F.greatest(F.floor(F.size("ids") / batches), F.lit(1))
+    return ids.select(each.alias("_each"), F.posexplode("ids").alias("_at", id_column)).select(
+        id_column, F.least(F.floor(F.col("_at") / F.col("_each")), F.lit(batches - 1)).cast("int").alias("batch")
+    )
 
 
 def embedding_text(df: DataFrame, columns: list[str]) -> DataFrame:

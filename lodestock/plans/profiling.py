@@ -399,8 +399,8 @@ def g_generation_summary(spark, folder):
 
 @query()
 def r_kmeans_reps(spark, folder):
-    """Representatives of the embeddings: one vector per cluster."""
-    return desc.representatives(table(spark, folder, "embeddings"), 8, "vec_id")
+    """Representatives of the embeddings: one vector per cluster, in two batches."""
+    return desc.representatives(table(spark, folder, "embeddings"), 8, "vec_id", batches=2)
 
 
 @query()
