@@ -1,29 +1,32 @@
 """Baseline policies that recommend for all tasks at once, and set-oriented pools.
 
 Tasks carry their constraints as rows (task_id, attribute, op, num, text), so that one pass over the
-catalogue serves all tasks. The number of tasks is checked before they are broadcast; more go in blocks.
+catalogue serves a block of tasks, as many as are broadcast at once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestock.operators.search import hash_blocks
+
 
-def task_pools(catalog: DataFrame, tasks: DataFrame, id_column: str, upper: dict[str, str], lower: dict[str, str] | None = None, max_tasks: int = 20_000) -> DataFrame:
+def task_pools(catalog: DataFrame, tasks: DataFrame, id_column: str, upper: dict[str, str], lower: dict[str, str] | None = None, max_tasks: int = 20_000, task: str = "task_id") -> DataFrame:
     """(task_id, catalogue columns) of all products that satisfy each task's bounds.
 
     ``upper`` maps a catalogue column to the task's column with its upper bound, ``lower`` likewise; a null
-    bound constrains nothing, a null value fails a bound.
+    bound constrains nothing, a null value fails a bound. Tasks go in blocks by hash of about ``max_tasks``.
     """
-    if tasks.limit(max_tasks + 1).count() > max_tasks:
-        raise ValueError(f"more than {max_tasks} tasks at once; run them in blocks")
     cond = F.lit(True)
     for columns, below in ((upper, True), (lower or {}, False)):
         for c, b in columns.items():
             x, y = catalog[c], tasks[b]
             cond = cond & (y.isNull() | (x <= y if below else x >= y))
-    return catalog.join(F.broadcast(tasks), cond)
+    keys = [task] if task in tasks.columns else list({*upper.values(), *(lower or {}).values()})
+    return reduce(DataFrame.unionByName, [catalog.join(F.broadcast(block), cond) for block in hash_blocks(tasks, max_tasks, *keys)])
 
 
 def random_k(hits: DataFrame, k: int, seed: int = 0, task: str = "task_id", product: str = "pid") -> DataFrame:

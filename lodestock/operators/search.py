@@ -89,17 +89,25 @@ def semantic(df: DataFrame, vector: list[float], embedding: str = "embedding") -
 
 
 def semantic_pairs(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, embedding: str = "embedding", max_queries: int = 10_000) -> DataFrame:
-    """Top ``k`` items of each query vector. Queries are broadcast, so their number is checked."""
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries at once; run them in blocks")
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("_q"))
-    scored = items.select(F.col(item_id).alias("item_id"), F.col(embedding).alias("_v")).crossJoin(F.broadcast(q))
-    scored = scored.select("query_id", "item_id", dot(F.col("_q"), F.col("_v")).alias("score")).where("score > 0 and query_id <> item_id")
+    """Top ``k`` items of each query vector. Queries are broadcast, in blocks by hash of about ``max_queries``."""
     from pyspark.sql import Window
 
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("_q"))
+    v = items.select(F.col(item_id).alias("item_id"), F.col(embedding).alias("_v"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = []
+    for block in hash_blocks(q, max_queries, "query_id"):
+        scored = v.crossJoin(F.broadcast(block))
+        scored = scored.select("query_id", "item_id", dot(F.col("_q"), F.col("_v")).alias("score")).where("score > 0 and query_id <> item_id")
+        found.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
+
+
+def hash_blocks(df: DataFrame, size: int, *keys: str) -> list[DataFrame]:
+    """The rows in blocks of about ``size`` by hash of the keys, small enough to be broadcast; rows of one key stay together."""
+    n = max(1, -(-df.count() // size))
+    block = F.pmod(F.xxhash64(*keys), F.lit(n))
+    return [df.where(block == i) for i in range(n)] if n > 1 else [df]
 
 
 def any_of(conditions: list[Column]) -> Column:
