@@ -101,6 +101,12 @@ class Resolver:
             last = max((i for i, t in enumerate(tokens) if re.search(r"\d", t)), default=None)
             self.codes[k] = tuple(squash(t) for t in tokens[last:]) if last is not None else ()
             self.words[k] = [squash(t) for t in tokens[: last if last is not None else len(tokens)]]
+        self.by_code: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for k, code in self.codes.items():
+            if code:
+                self.by_code[code].append(k)
+        self.sizes = sorted({len(c) for c in self.by_code})
+        self.behind = {t for c in self.by_code for t in c[1:]}
 
     def _fit(self, tokens: list[str], joined: str, k: int) -> int:
         """How all of the value is explained by the name: 2 with its code as tokens of their own, 1 run together, 0 not.
@@ -135,6 +141,28 @@ class Resolver:
                     return True
         return False
 
+    def _by_code(self, text: str, tokens: list[str]) -> int | None:
+        """The only entry whose code stands in the value as tokens, if what stands beside it can be a remark.
+
+        A token with a digit that isn't the entry's names another model, and so does a word behind the code that
+        belongs to some entry's code.
+        """
+        found: dict[tuple[str, ...], set[int]] = defaultdict(set)  # code -> names
+        for at in range(len(tokens)):
+            for size in self.sizes:
+                if len(code := tuple(tokens[at : at + size])) == size:
+                    found[code].update(self.by_code.get(code, ()))
+        names = set().union(*found.values())
+        longest = max((len(self.codes[k]) for k in names), default=0)
+        names = {k for k in names if len(self.codes[k]) == longest}
+        if len({self.names[k][0] for k in names}) != 1:
+            return None
+        known = {t for k in names for t in (*self.codes[k], *self.words[k])}
+        for raw, t in zip(re.findall(r"[0-9a-z]+", text), tokens):
+            if t not in known and (re.search(r"\d", raw) or t in self.behind):
+                return None
+        return self.names[min(names)][0]
+
     def candidates(self, text: str) -> list[tuple[float, int]]:
         """(score, name) of the names that share an n-gram, best first."""
         vector = {g: c * self.idf.get(g, self.unseen) for g, c in grams(squash(text)).items()}
@@ -170,6 +198,10 @@ class Resolver:
                 canon = closest[0]
                 return canon, best[canon], best[canon] - max([0.0, *(s for c, s in best.items() if c != canon)])
             return 0, order[0][1], 0.0
+        if (canon := self._by_code(text, tokens)) is not None:
+            s = best.get(canon, 0.0)
+            gap = s - max([0.0, *(x for c, x in best.items() if c != canon)])
+            return (canon if s >= self.threshold and gap >= self.margin else 0), s, gap
         canon, s = order[0]
         gap = s - (order[1][1] if len(order) > 1 else 0.0)
         top = next(k for _, k in ranked if self.names[k][0] == canon)
