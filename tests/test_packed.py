@@ -19,6 +19,8 @@ CASES = [
     ('{gaming,"point of sale; kiosk"}', ["gaming", "point of sale; kiosk"]), ("['x', \"kids' homework\"]", ["x", "kids' homework"]),
     ("“gaming” “study”", ["gaming", "study"]), ("a\tb\r\nc", ["a", "b", "c"]), ("a、b，c", ["a", "b", "c"]), ("x, x, x", ["x", "x", "x"]),
     ('15" carry, gaming', ['15" carry', "gaming"]),
+    ("a; (b, c); d", ["a", "b, c", "d"]), ("[a, b], c", ["a, b", "c"]), ("(a, b) c, d", ["(a, b) c", "d"]), ("a (b, c), d", ["a (b, c)", "d"]),
+    ("[a, b], [c]", ["a, b", "c"]), ("[[a, b], {c}]", ["a, b", "c"]), ('["a]", "b"]', ["a]", "b"]), ('("a, b"); c', ["a, b", "c"]), ("( )", []), ("a, (), b", ["a", "b"]),
 ]
 
 
@@ -30,6 +32,10 @@ def test_cells(cell, want):
 def test_malformed_cells_are_read_and_flagged():
     assert G.parse('"gaming, study') == (["gaming", "study"], ["unclosed_quote"])
     assert G.parse("[gaming, study") == (["gaming", "study"], ["unclosed_bracket"])
+    assert G.parse("a, (b, c") == (["a", "b", "c"], ["unclosed_bracket"])
+    assert G.parse("a b), c") == (["a b", "c"], ["unclosed_bracket"])
+    assert G.parse("a ( b, c") == (["a ( b", "c"], ["unclosed_bracket"])
+    assert G.parse("[a, b], c]") == (["a, b", "c"], ["unclosed_bracket"])
     assert G.parse("gaming, study]") == (["gaming", "study"], ["unclosed_bracket"])
 
 
@@ -47,6 +53,16 @@ def test_never_fails(cell):
     assert all(v and v == v.strip() for v in values)
 
 
+def test_placeholders_are_a_parameter():
+    assert G.parse("Unknown") == ([], [])
+    assert PackedGrammar(placeholders=()).parse("Unknown") == (["Unknown"], [])
+
+
+def test_many_brackets_take_linear_time():
+    assert len(G.parse("(" * 200_000 + "a")[0]) == 1
+    assert len(G.parse("([" * 50_000 + "a)" * 50_000)[0]) == 1
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "a,b", "x"), (1, "a,b", "x"), (2, None, "x"), (3, "one", "x"), (None, "c;d", "x"), (4, "z," * 20_000, "x")], "id long, cell string, value string")
     out = split_packed(df, "id", "cell", VOCABULARY, min_values=2).collect()
