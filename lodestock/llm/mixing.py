@@ -4,12 +4,14 @@ Each source has a schedule of weights over the run, from 0 to 1, linear between
 without any. Its integral times the budget is the source's cumulative demand of tokens. A source offers
 its documents in a permuted order, again from the start when all are used, at most ``max_repeats``
 times; the token at which a copy starts, put into the inverse of the cumulative demand, is the copy's
-position in the run. Documents are range-sorted by position.
+position in the run. Documents are range-sorted by position. A source can't fill its share where the
+tokens that were placed are fewer than its demand.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestock.llm.bpe import TOKENIZER, count_tokens
 from lodestock.sources.shared import keep, small
 
-BUCKETS = 1024
+BUCKET_ROWS = 50_000  # documents that one sort takes, about
 
 SOURCES = (
     "mix_id string, source string, source_key string, target_weight double, max_repeats long, budget_tokens long, "
@@ -58,11 +60,29 @@ def curriculum(weights: dict[str, float], schedules: dict[str, list[tuple[float,
     return out
 
 
-def mix_sources(counts: DataFrame, mix: DataFrame, schedules: dict[str, dict] | None = None, max_rows: int = 100_000) -> DataFrame:
+def length_curriculum(rows: list, strength: float = 0.5) -> dict[str, list[tuple[float, float]]]:
+    """Schedules of one mix that bring sources of short documents early and those of long documents late.
+
+    Weights go linearly from (1 - tilt) to (1 + tilt) times the target weight. Tilts follow the rank of a
+    source's mean tokens a document (a source without tokens, in the middle), less their weighted mean, so
+    that the weights of a mix sum to 1 at every moment; none is beyond ``strength`` (0 to 1) either way.
+    """
+    held = sorted((r for r in rows if r.source_tokens), key=lambda r: (r.source_tokens / r.n_docs, r.source_key))
+    rank = {r.source_key: 2.0 * i / max(1, len(held) - 1) - 1.0 if len(held) > 1 else 0.0 for i, r in enumerate(held)}
+    weight = {r.source_key: float(r.target_weight or 0.0) for r in rows}
+    total = sum(weight.values()) or 1.0
+    mean = sum(rank.get(k, 0.0) * w for k, w in weight.items()) / total
+    tilt = {k: rank.get(k, 0.0) - mean for k in weight}
+    most = max([1.0, *(abs(t) for t in tilt.values())])
+    return {k: [(0.0, 1.0 - strength * t / most), (1.0, 1.0 + strength * t / most)] for k, t in tilt.items()}
+
+
+def mix_sources(counts: DataFrame, mix: DataFrame, schedules: dict[str, dict] | Callable | None = None, max_rows: int = 100_000) -> DataFrame:
     """One row per (mix_id, source) with its tokens, demand and the share of the demand it can fill.
 
     ``mix`` is a control table of one row per mix and source; more than ``max_rows`` are an error. A source
     named twice in a mix (up to blanks and letter case) counts by its first spelling with summed weight.
+    ``schedules`` are by mix and source key, or a function of a mix's rows such as ``length_curriculum``.
     """
     spark = counts.sparkSession
     have = counts.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("source_tokens"))
@@ -76,7 +96,7 @@ def mix_sources(counts: DataFrame, mix: DataFrame, schedules: dict[str, dict] |
         mixes[r.mix_id].append(r)
     out = []
     for mix_id, rs in mixes.items():
-        pieces = curriculum({r.source_key: float(r.target_weight or 0.0) for r in rs}, (schedules or {}).get(mix_id))
+        pieces = curriculum({r.source_key: float(r.target_weight or 0.0) for r in rs}, schedules(rs) if callable(schedules) else (schedules or {}).get(mix_id))
         for r in rs:
             tokens, demand = int(r.source_tokens or 0), float(r.target_weight or 0.0) * int(r.budget_tokens or 0)
             most = int(r.max_repeats or 0) * tokens
@@ -87,13 +107,15 @@ def mix_sources(counts: DataFrame, mix: DataFrame, schedules: dict[str, dict] |
     return spark.createDataFrame(out, SOURCES)
 
 
-def _ordered(counts: DataFrame, seed: int) -> DataFrame:
+def _ordered(counts: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """(source_key, doc_id, n_tokens, start): tokens of the source before each document in a permuted order.
 
-    Prefix sums over hash buckets, then within a bucket: no source is ordered by one task.
+    Prefix sums over hash buckets, then within a bucket: no source is ordered by one task. The number of
+    buckets follows the source's documents.
     """
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = counts.where("n_tokens > 0").withColumns({"h": h, "bucket": F.shiftrightunsigned(h, 54)})
+    buckets = sources.groupBy("source_key").agg(F.ceil((F.max("n_docs") + 1) / F.lit(BUCKET_ROWS)).cast("long").alias("buckets"))
+    rows = counts.where("n_tokens > 0").join(F.broadcast(buckets), "source_key").withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    rows = rows.withColumn("bucket", F.shiftright(F.shiftrightunsigned("h", 33) * F.col("buckets"), 31)).drop("buckets")
     w = Window.partitionBy("source_key").orderBy("bucket")
     sums = rows.groupBy("source_key", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("source_key", "bucket", (F.sum("n").over(w) - F.col("n")).alias("before"))
@@ -123,8 +145,9 @@ def assign(counts: DataFrame, sources: DataFrame, seed: int = 0) -> DataFrame:
     wanted = sources.where("demand > 0 and source_tokens > 0").select(
         "mix_id", "source", "source_key", "max_repeats", "budget_tokens", "source_tokens", "demand", "fill", "knots"
     )
-    docs = _ordered(counts, seed).join(F.broadcast(wanted), "source_key")  # mix_sources bounds the table
-    passes = F.ceil((F.col("demand") - F.col("start")) / F.col("source_tokens")).cast("long")
+    docs = _ordered(counts, sources, seed).join(F.broadcast(wanted), "source_key")  # mix_sources bounds the table
+    # Whole numbers: a copy starts before the demand exactly if it starts before the next whole token.
+    passes = F.expr("(ceil(demand) - start + source_tokens - 1) div source_tokens")
     docs = docs.withColumn("copies", F.least("max_repeats", passes)).where("copies > 0")
     copies = docs.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     at = F.col("start") + (F.col("copy") - 1) * F.col("source_tokens")
@@ -136,10 +159,7 @@ def assign(counts: DataFrame, sources: DataFrame, seed: int = 0) -> DataFrame:
 
 def report(sources: DataFrame, assigned: DataFrame) -> DataFrame:
     """Per (mix_id, source): target and actual share and tokens, copies, most copies of one document, shortfall in tokens."""
-    per_doc = assigned.groupBy("mix_id", "source", "doc_id").agg(F.max("copy").alias("copies"), F.max("n_tokens").alias("n_tokens"))
-    used = per_doc.groupBy("mix_id", "source").agg(
-        F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies")
-    )
+    used = assigned.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"), F.max("copy").alias("most_copies"))
     w = Window.partitionBy("mix_id")
     tokens = F.coalesce("tokens", F.lit(0))
     return sources.join(used, ["mix_id", "source"], "left").select(
@@ -153,12 +173,12 @@ def report(sources: DataFrame, assigned: DataFrame) -> DataFrame:
         F.coalesce("copies", F.lit(0)).alias("copies"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         (tokens / F.nullif(F.sum(tokens).over(w), F.lit(0))).alias("actual_share"),
-        F.greatest(F.lit(0.0), F.col("demand") - F.col("max_repeats") * F.col("source_tokens")).alias("shortfall_tokens"),
-        (F.col("max_repeats") * F.col("source_tokens") < F.col("demand")).alias("cannot_fill"),
+        F.greatest(F.lit(0.0), F.col("demand") - tokens).alias("shortfall_tokens"),
+        (tokens < F.col("demand")).alias("cannot_fill"),
     )
 
 
-def mixed(docs: DataFrame, mix: DataFrame, *, tokenizer: str = TOKENIZER, schedules: dict | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, mix: DataFrame, *, tokenizer: str = TOKENIZER, schedules: dict | Callable | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(sources with their demand, assigned copies). Tokens are counted once, over whole texts of all named sources."""
     counts = keep(token_counts(docs, mix, tokenizer), "mix-tokens")
     sources = mix_sources(counts, mix, schedules)

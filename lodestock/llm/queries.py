@@ -16,25 +16,37 @@ TYPED = ("processor", "gpu_type")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Targets that the tasks of the plan's domain cannot meet."""
-    quotas, _ = _drawn(spark, folder)
-    return quotas.where("below_min or below_target").select("plan_id", "category")
+    """Targets that the tasks of the plan's domain cannot meet: the draw to the target ended before it."""
+    quotas, ranks, _ = _drawn(spark, folder)
+    return sampling.unmet(quotas, ranks).select("plan_id", "category")
 
 
-def _drawn(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _drawn(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(allocation, ranks of the tasks drawn, sample)."""
     tasks, targets = table(spark, folder, "tasks"), table(spark, folder, "sampling_targets")
-    quotas = sampling.allocation(tasks, targets)
-    return quotas, keep(sampling.draw(sampling.plan_candidates(tasks, targets), quotas), "sample")
+    candidates = keep(sampling.plan_candidates(tasks, targets), "candidates")
+    quotas = sampling.allocation(tasks, targets, candidates=candidates)
+    ranks = keep(sampling.ranked(candidates, quotas), "ranked")
+    return quotas, ranks, keep(sampling.draw(candidates, quotas, ranks=ranks), "sample")
 
 
 def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
     """The tasks drawn for each plan."""
-    return _drawn(spark, folder)[1]
+    return _drawn(spark, folder)[2]
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     """Each category with its target, actual share and shortfall."""
-    return sampling.report(*_drawn(spark, folder))
+    quotas, _, sample = _drawn(spark, folder)
+    return sampling.report(quotas, sample)
+
+
+def p1_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Per plan: tasks that belong to a category, tasks drawn, different ones among them."""
+    quotas, _, sample = _drawn(spark, folder)
+    size = quotas.groupBy("plan_id").agg(F.max("sample_size").alias("sample_size"), F.sum("capacity").alias("tasks"))
+    drawn = sample.groupBy("plan_id").agg(F.count(F.lit(1)).alias("drawn"), F.countDistinct("task_id").alias("different"))
+    return size.join(drawn, "plan_id", "left").select("plan_id", "sample_size", "tasks", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce("different", F.lit(0)).alias("different"))
 
 
 def _frequencies(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,24 +90,29 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(sources, assigned copies) of all mixes, each with the schedules of ``mixing.length_curriculum``."""
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), schedules=mixing.length_curriculum)
+
+
+def _placed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     # The assignment is written, else the optimiser leaves out whatever of it a report doesn't select.
-    sources, assigned = mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    sources, assigned = _mixed(spark, folder)
     return sources, keep(assigned, "assigned")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources of a mix that cannot fill their share."""
-    return mixing.report(*_mixed(spark, folder)).where("cannot_fill").select("mix_id", "source")
+    """Sources of a mix that cannot fill their share: fewer tokens were placed than it demands."""
+    return mixing.report(*_placed(spark, folder)).where("cannot_fill").select("mix_id", "source")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual shares of every source of every mix."""
-    return mixing.report(*_mixed(spark, folder))
+    return mixing.report(*_placed(spark, folder))
 
 
 def p7_order(spark: SparkSession, folder: str) -> DataFrame:
     """Every copy of every document in a mix, in training order."""
-    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return _mixed(spark, folder)[1]
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +129,7 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_sample, p1_report, p2_found, p2_frequencies, p5_found, p5_unmatched, p6_ids, p7_found, p7_report, p7_order, p8_found, p8_coverage,
+        p1_found, p1_sample, p1_report, p1_totals, p2_found, p2_frequencies, p5_found, p5_unmatched, p6_ids, p7_found, p7_report, p7_order, p8_found, p8_coverage,
     )
 }
 
@@ -126,6 +143,12 @@ with t as (select t.plan_id, t.category, t.target_share, t.min_tasks, t.sample_s
   on k.plan_id = t.plan_id and (case when t.category = '(absent)' then k.v is null else lower(trim(k.v)) = lower(trim(t.category)) end))
 select plan_id, category from t group by plan_id, category, target_share, min_tasks, sample_size
 having count(distinct task_id) < min_tasks or count(distinct task_id) < target_share * sample_size""",
+    "p1_totals": r"""
+with c as (select distinct p.plan_id, p.category, p.sample_size, x.task_id from sampling_targets p left join tasks x
+  on x.domain = p.domain and x.task_id is not null and (case when p.category = '(absent)' then map_extract(x.user_profile.hard_constraints, p.constraint_name)[1] is null
+     else lower(trim(map_extract(x.user_profile.hard_constraints, p.constraint_name)[1])) = lower(trim(p.category)) end))
+select plan_id, max(sample_size) sample_size, count(distinct task_id) tasks, least(max(sample_size), count(distinct task_id)) drawn,
+  least(max(sample_size), count(distinct task_id)) different from c group by 1""",
     "p2_found": f"""
 with terms as ({" union all ".join(_TERMS.format(f) for f in TYPED)}),
 n as ({" union all ".join(f"select '{f}' field, count(distinct product_id) n from laptops where {f} is not null" for f in TYPED)})

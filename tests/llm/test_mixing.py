@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestock.llm.mixing import assign, curriculum, mix_sources, report, token_counts
+from lodestock.llm.mixing import assign, curriculum, length_curriculum, mix_sources, report, token_counts
 
 MIX = "mix_id string, source string, target_weight double, max_repeats long, budget_tokens long"
 
@@ -51,3 +51,27 @@ def test_sources_are_compared_loosely(spark):
     empty = mix_sources(token_counts(docs.limit(0), mix), mix)
     assert empty.collect()[0].source_tokens == 0 and assign(token_counts(docs.limit(0), mix), empty).count() == 0
     assert mix_sources(token_counts(docs, mix), mix.limit(0)).count() == 0
+
+
+def test_length_curriculum_brings_long_documents_late(spark):
+    rows = [(i, ("short", "mid", "long")[i % 3], (5, 20, 100)[i % 3]) for i in range(900)]
+    counts = spark.createDataFrame(rows, "doc_id long, source_key string, n_tokens long")
+    mix = spark.createDataFrame([("m", s, w, 9, 10_000) for s, w in (("short", 0.2), ("mid", 0.3), ("long", 0.5))], MIX)
+    sources = mix_sources(counts, mix, length_curriculum)
+    knots = {r.source: r.knots[0] for r in sources.collect()}
+    # Weights sum to 1 at the start and change by 0 in all, so they do all along.
+    assert abs(sum(k.rate for k in knots.values()) - 1) < 1e-9 and abs(sum(k.slope for k in knots.values())) < 1e-9
+    placed = assign(counts, sources).collect()
+    half = {s: sum(r.n_tokens for r in placed if r.source == s and r.position < 0.5) / sum(r.n_tokens for r in placed if r.source == s) for s in knots}
+    assert half["short"] > 0.55 > 0.48 > half["long"]
+    for s, w in (("short", 0.2), ("mid", 0.3), ("long", 0.5)):
+        assert 0 <= sum(r.n_tokens for r in placed if r.source == s) - w * 10_000 < 100
+
+
+def test_cannot_fill_is_what_was_placed(spark):
+    counts = spark.createDataFrame([(i, "s", 10) for i in range(10)], "doc_id long, source_key string, n_tokens long")
+    for repeats, budget, want in ((1, 100, False), (1, 101, True), (3, 300, False), (3, 301, True), (0, 5, True)):
+        mix = spark.createDataFrame([("m", "s", 1.0, repeats, budget)], MIX)
+        sources = mix_sources(counts, mix, length_curriculum)
+        r = report(sources, assign(counts, sources)).collect()[0]
+        assert r.cannot_fill == want == (repeats * 100 < budget) and r.tokens == min(repeats * 100, budget + -budget % 10)

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestock.llm.sampling import allocate, allocation, draw, plan_candidates, report
+from lodestock.llm.sampling import allocate, allocation, default_path, draw, plan_candidates, ranked, report, unmet
 
 
 def test_unmet_quota_goes_to_siblings_first():
@@ -65,3 +65,48 @@ def test_empty(spark):
     assert allocation(tasks, targets.limit(0)).count() == 0
     with pytest.raises(ValueError):
         allocation(tasks, targets.unionByName(targets.withColumn("category", targets.plan_id)), max_targets=1)
+
+
+def test_deliveries_of_several_categories_are_drawn_once(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(f"r{i}", "d", ({"c": "red"},), at, None) for i in range(10)] + [(f"r{i}", "d", ({"c": "blue"},), at + dt.timedelta(1), None) for i in range(10)]
+    rows += [(f"g{i}", "d", ({"c": "green"},), at, None) for i in range(50)]
+    tasks = spark.createDataFrame(rows, TASKS)
+    targets = spark.createDataFrame([("p", "d", "c", c, 1 / 3, 0, 30) for c in ("red", "blue", "green")], TARGETS)
+    candidates = plan_candidates(tasks, targets)
+    quotas = allocation(tasks, targets)
+    have = {r.category: (r.available, r.capacity) for r in quotas.collect()}
+    assert have == {"red": (10, 0), "blue": (10, 10), "green": (50, 50)}
+    picked = draw(candidates, quotas).collect()
+    assert len(picked) == len({r.task_id for r in picked}) == 30
+    # Available counts every delivery's category, as the case is defined.
+    assert unmet(quotas, ranked(candidates, quotas)).count() == 0
+    more = allocation(tasks, targets.withColumn("sample_size", targets.sample_size * 2))
+    assert len(draw(candidates, more).collect()) == 60
+    assert {r.category: r.reached for r in unmet(more, ranked(candidates, more)).collect()} == {"red": 10, "blue": 10}
+
+
+def test_unmet_is_where_fewer_are_available(spark):
+    at = dt.datetime(2024, 1, 1)
+    tasks = spark.createDataFrame([(f"{c}{i}", "d", ({"c": c},), at, None) for c, n in (("a 1", 7), ("a 2", 8), ("b", 80)) for i in range(n)], TASKS)
+    targets = spark.createDataFrame([("p", "d", "c", c, s, m, 100) for c, s, m in (("a 1", 0.07, 8), ("a 2", 0.08, 8), ("b", 0.85, 1), ("gone", 0.0, 0))], TARGETS)
+    quotas = allocation(tasks, targets)
+    want = {r.category for r in quotas.where("below_min or below_target").collect()}
+    assert {r.category for r in unmet(quotas, ranked(plan_candidates(tasks, targets), quotas)).collect()} == want == {"a 1", "b"} | ({"a 2"} if 8 < 0.08 * 100 else set())
+
+
+def test_buckets_follow_the_size(spark, monkeypatch):
+    from lodestock.llm import sampling
+
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 7)
+    at = dt.datetime(2024, 1, 1)
+    tasks = spark.createDataFrame([(f"t{i}", "d", ({"c": "x"},), at, None) for i in range(200)], TASKS)
+    targets = spark.createDataFrame([("p", "d", "c", "x", 1.0, 0, 90)], TARGETS)
+    quotas = allocation(tasks, targets)
+    assert quotas.first().buckets == 29
+    assert sorted(r["rank"] for r in draw(plan_candidates(tasks, targets), quotas).collect()) == list(range(1, 91))
+
+
+def test_families():
+    assert default_path("Ostra 11")[:2] == default_path("ostra 9")[:2] == ("stated", "ostra")
+    assert default_path("(absent)")[0] == "absent"
