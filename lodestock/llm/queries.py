@@ -73,15 +73,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The entry meant by each value that isn't exactly a label, 0 if none is."""
     rows, entries = _typed(spark, folder), table(spark, folder, "canonical_values")
     labels = entries.select("attribute", F.col("label").alias("value"))
-    mapped = keep(canonical.map_values(rows, entries).select("attribute", "value", "canon_id"), "mapped")
-    return rows.join(labels, ["attribute", "value"], "left_anti").join(mapped, ["attribute", "value"]).select("listing_id", "attribute", "canon_id")
+    mapped = keep(canonical.map_values(rows, entries).join(labels, ["attribute", "value"], "left_anti"), "mapped")
+    total = mapped.agg(F.sum("occurrences")).first()[0] or 0
+    return canonical.attach(rows.join(labels, ["attribute", "value"], "left_anti"), mapped, total).select("listing_id", "attribute", "canon_id")
 
 
 def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct values that mean no entry, with the best score and how many listings have them."""
-    rows = _typed(spark, folder)
-    mapped = canonical.map_values(rows, table(spark, folder, "canonical_values")).where("canon_id = 0")
-    return rows.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("listings")).join(mapped, ["attribute", "value"])
+    mapped = canonical.map_values(_typed(spark, folder), table(spark, folder, "canonical_values"))
+    return mapped.where("canon_id = 0").withColumnRenamed("occurrences", "listings")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:

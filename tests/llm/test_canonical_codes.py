@@ -2,8 +2,7 @@
 
 import pytest
 
-from lodestock.llm.canonical import clean
-from tests.llm.test_canonical import R
+from tests.llm.test_canonical import meant
 
 BY_CODE = [
     ("Tavrion Axis 3 3656G OEM", 1), ("Ostrek Rho 6 8833HS OEM", 5), ("Tavrrion Axxis 3 3656G", 1),
@@ -13,4 +12,4 @@ BY_CODE = [
 
 @pytest.mark.parametrize("value,entry", BY_CODE)
 def test_resolve_by_code(value, entry):
-    assert R.resolve(clean(value))[0] == entry
+    assert meant(value)[0] == entry
