@@ -5,7 +5,12 @@ join the merge table, and a recursive query contracts each word's leftmost pair
 all later occurrences of that pair that don't overlap (no merge can come between them), until no pair
 is in the table. An ordered aggregation gives each word's ids, and offsets put the words of a text
 together. Recursion stops after ``ROUNDS`` contractions and goes on from the rows then reached, so
-that very long words don't fill memory with earlier states.
+that earlier states don't fill memory.
+
+Long words (blobs without spaces) are cut into pieces of ``PIECE`` bytes, which are encoded as words of
+their own and put together two by two: the tokens around the seam are encoded anew, over ever more of
+them, until the outermost ones stay as they were. An encoding is right exactly if every two neighbours
+encode to themselves (a known property of byte-pair encoding), so what lies outside the seam holds.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed pattern of the tokenizer: how a text falls into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROUNDS = 24
+PIECE = 128  # bytes
+SEAM = 4  # tokens on either side of a seam, at first
 CHUNK = 8_000_000  # characters held at once
 KNOWN = 400_000  # words kept from chunk to chunk
 
@@ -43,7 +50,7 @@ class WordEncoder:
 
     def __init__(self, path: str, shared: str | None = None):
         self.shared = shared
-        self.byte_ids, self.merges = self._load(path)
+        self.byte_ids, self.merges, self.bytes_of = self._load(path)
         self._db = task_db(shared)
         self.con = self._db.__enter__()
         self.con.register("m", self.merges)
@@ -54,12 +61,13 @@ class WordEncoder:
         self._db.__exit__(None, None, None)
 
     @staticmethod
-    def _load(path: str) -> tuple[np.ndarray, pa.Table]:
+    def _load(path: str) -> tuple[np.ndarray, pa.Table, dict[int, bytes]]:
         byte_ids = np.zeros(256, np.int32)
         rows = []
         if path.endswith(".tiktoken"):
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            bytes_of = {i: word for word, i in ranks.items()}
             for word, i in ranks.items():
                 if len(word) == 1:
                     byte_ids[word[0]] = i
@@ -68,19 +76,64 @@ class WordEncoder:
             with open(path, encoding="utf-8") as f:
                 model = json.load(f)["model"]
             vocab = model["vocab"]
-            for c, b in _characters().items():
+            characters = _characters()
+            bytes_of = {i: bytes(characters[c] for c in word) for word, i in vocab.items() if all(c in characters for c in word)}
+            for c, b in characters.items():
                 byte_ids[b] = vocab[c]
             for rank, pair in enumerate(model["merges"]):
                 a, b = pair.split(" ") if isinstance(pair, str) else pair
                 rows.append((vocab[a], vocab[b], rank, vocab[a + b]))
         a, b, rank, new = (np.array(x, np.int32) for x in zip(*rows))
-        return byte_ids, pa.table({"a": a, "b": b, "rank": rank, "new": new})
+        return byte_ids, pa.table({"a": a, "b": b, "rank": rank, "new": new}), bytes_of
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, number of ids of each word)."""
-        if not words:
-            return np.empty(0, np.int32), np.empty(0, np.int64)
         data = [w.encode() for w in words]
+        long = [k for k, w in enumerate(data) if len(w) > 2 * PIECE]
+        if not long:
+            return self._encode(data)
+        pieces: list[bytes] = []
+        shape = []
+        for k, w in enumerate(data):
+            cut = [w[i : i + PIECE] for i in range(0, len(w), PIECE)] if len(w) > 2 * PIECE else [w]
+            shape.append(len(cut))
+            pieces += cut
+        ids, size = self._encode(pieces)
+        parts = np.split(ids, np.cumsum(size)[:-1])
+        ends = np.cumsum(shape)
+        whole = [parts[e - n] if n == 1 else None for e, n in zip(ends, shape)]
+        open_words = {k: parts[ends[k] - shape[k] : ends[k]] for k in long}
+        while open_words:  # all seams of a level at once, so there are as many levels as the longest word has doublings
+            pairs = [(k, i) for k, held in open_words.items() for i in range(0, len(held) - 1, 2)]
+            joined = dict(zip(pairs, self._join([(open_words[k][i], open_words[k][i + 1]) for k, i in pairs])))
+            for k, held in list(open_words.items()):
+                open_words[k] = [joined[k, i] if i + 1 < len(held) else held[i] for i in range(0, len(held), 2)]
+                if len(open_words[k]) == 1:
+                    whole[k] = open_words.pop(k)[0]
+        return np.concatenate(whole), np.fromiter(map(len, whole), np.int64, len(whole))
+
+    def _join(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The encodings of the texts of two encodings put together."""
+        out: list[np.ndarray | None] = [None] * len(sides)
+        todo, width = list(range(len(sides))), SEAM
+        while todo:
+            around = [(sides[i][0][-width:], sides[i][1][:width]) for i in todo]
+            ids, size = self._encode([b"".join(self.bytes_of[t] for side in a for t in side.tolist()) for a in around])
+            left = []
+            for i, (a, b), new in zip(todo, around, np.split(ids, np.cumsum(size)[:-1])):
+                x, y = sides[i]
+                # The outermost token of each side must stay, unless its side ends there.
+                if (len(a) == len(x) or new[0] == a[0] and len(new) > 1) and (len(b) == len(y) or new[-1] == b[-1] and len(new) > 1):
+                    out[i] = np.concatenate([x[: len(x) - len(a)], new, y[len(b) :]])
+                else:
+                    left.append(i)
+            todo, width = left, 2 * width
+        return out
+
+    def _encode(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, by the recursive query alone."""
+        if not data:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         size = np.fromiter(map(len, data), np.int64, len(data))
         tokens = self.byte_ids[np.frombuffer(b"".join(data), np.uint8)]
         starts = np.cumsum(size) - size

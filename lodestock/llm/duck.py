@@ -1,4 +1,4 @@
-"""DuckDB inside a task: one thread, bounded memory, spilling to the folder the executors share."""
+"""DuckDB inside a task: one thread, bounded memory, spilling to the folder the executors share or nowhere."""
 
 from __future__ import annotations
 
@@ -13,8 +13,12 @@ import duckdb
 
 @contextmanager
 def task_db(shared: str | None, memory: str = "200MB") -> Iterator[duckdb.DuckDBPyConnection]:
-    """A connection for this task. ``shared`` is a file:// folder; with another scheme nothing is spilled."""
-    config = {"threads": 1, "memory_limit": memory, "preserve_insertion_order": False}
+    """A connection for this task.
+
+    ``shared`` is the shared folder. With another scheme than file: DuckDB can't write there; then it must not
+    spill at all (by default it would, to the worker's current folder), and callers hold only what fits.
+    """
+    config = {"threads": 1, "memory_limit": memory, "preserve_insertion_order": False, "temp_directory": ""}
     folder = None
     if shared and shared.startswith("file:"):
         folder = os.path.join(shared.removeprefix("file://").removeprefix("file:"), f"duck-{uuid.uuid4().hex}")

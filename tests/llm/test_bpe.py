@@ -77,3 +77,33 @@ def test_chunks_keep_rows(spark, monkeypatch, reference):
     batch = pa.RecordBatch.from_pydict({"key": list(range(300)), "text": texts})
     out = [r for b in bpe._run(bpe.TOKENIZER, "", False)(iter([batch])) for r in b.to_pylist()]
     assert [r["key"] for r in out] == list(range(300)) and [r["ids"] for r in out] == [reference.encode_ordinary(t) for t in texts]
+
+
+LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
+
+
+def test_long_words(encoder, reference):
+    import random
+    import time
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice(LETTERS) for _ in range(n)) for n in (257, 2_000, 10_000, 40_000)]
+    words += [" " * 5_000 + "x", "a" * 9_001, "ab" * 4_000, "=" * 3_000, "日本" * 2_000, "".join(rng.choice("aab") for _ in range(6_000)), "\n" * 2_500]
+    began = time.process_time()
+    got = ids(encoder, words)
+    assert time.process_time() - began < 60
+    assert got == [reference.encode_ordinary(w) for w in words]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n.é", min_size=200, max_size=900), min_size=1, max_size=4))
+def test_seams(reference, texts):
+    e = TextEncoder(bpe.TOKENIZER)
+    assert ids(e, texts) == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_seams_with_small_pieces(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", 5)
+    monkeypatch.setattr(bpe, "SEAM", 1)
+    text = "internationalisation unconstitutionally " * 3 + "antidisestablishmentarianism" * 20 + " " * 77 + "!?" * 40
+    assert ids(TextEncoder(bpe.TOKENIZER), [text]) == [reference.encode_ordinary(text)]
