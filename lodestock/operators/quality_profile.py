@@ -1,15 +1,17 @@
 """Column-level data quality profile of the loads of a large table, with drift against a baseline.
 
-Numbers: values are counted by (load, column, value), range-sorted by (column, value), and each
-range partition yields, by load, how many values and distinct values it holds and its piece of the
-cumulative curve. Prefix sums of those counts over the partitions place every rank, which gives
-exact quantiles; the pieces of two loads' curves, shifted by their prefixes, give the exact
-Kolmogorov-Smirnov distance. Strings and booleans: values are counted by (load, column, value),
-and from these counts follow distinct counts, forms and the distance of the shares.
-
-Nothing is grouped on the driver but one row per (load, column) of counts and ranges, which
-``max_cells`` bounds; a load or a value that holds a third of all rows is reduced to counts before
-the first shuffle.
+Every non-null cell becomes (load, column, value) and equal ones are counted, so a load or a value that
+holds a third of all rows is small before anything is sorted. The counts are range-sorted by (column,
+value), each partition is read once as a stream, and every stretch of it yields, by load, how many values
+and distinct values it holds and, for a load and its baseline, its piece of their cumulative curves.
+Prefix sums of those counts over the stretches place every rank, which gives exact quantiles and
+distincts; the pieces of two loads' curves, shifted by their prefixes, give the exact Kolmogorov-Smirnov
+distance, and the sum of their steps the distance of the shares.
+
+Numbers are sorted by their exact value: 64-bit integers and times are never rounded to doubles. Strings and booleans need no order of their own; they are sorted by 128 bits of hash, so that
+long texts travel once. The forms of strings are counted from the same counts.
+
+Held whole anywhere is one row per (load, column) of counts and ranges, which ``max_cells`` bounds.
 """
 
 from __future__ import annotations
@@ -19,18 +21,29 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestock.sources.shared import keep, small
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+STRETCH = 50_000  # sorted counts that are looked at together, about
+RANGE_ROWS = 2_000_000  # counts in a range partition, about
+#: Of a load: n, n_distinct, outside, values and counts (numbers only). Of a load and its baseline (pair): n, n_base, the
+#: least and greatest difference of the curves within the stretch, and the summed difference of the shares.
 PIECE = (
-    "load_id long, column_name string, pid int, pair boolean, n long, n_base long, n_distinct long, "
-    "outside long, low double, high double, nums array<double>, cnts array<long>"
+    "load_id long, column int, pid int, seq int, pair boolean, n long, n_base long, n_distinct long, outside long, "
+    "low double, high double, moved double, nums array<double>, cnts array<long>"
 )
+PIECE_ARROW = pa.schema(
+    [("load_id", pa.int64()), ("column", pa.int32()), ("pid", pa.int32()), ("seq", pa.int32()), ("pair", pa.bool_()), ("n", pa.int64()), ("n_base", pa.int64()),
+     ("n_distinct", pa.int64()), ("outside", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("moved", pa.float64()),
+     ("nums", pa.list_(pa.float64())), ("cnts", pa.list_(pa.int64()))]
+)
 
 
 def kind_of(dtype: T.DataType) -> str | None:
@@ -41,19 +54,45 @@ def kind_of(dtype: T.DataType) -> str | None:
         return "string"
     if isinstance(dtype, T.BooleanType):
         return "boolean"
-    return "time" if isinstance(dtype, T.TimestampType | T.TimestampNTZType | T.DateType) else None
+    return "time" if isinstance(dtype, TIMES) else None
 
 
-def _number(name: str, dtype: T.DataType):
+def _key(name: str, dtype: T.DataType) -> tuple[str, Column, float]:
+    """(how the column is counted, its exact value, what to divide it by): double, long, text, or a decimal type of over 18 digits."""
     c = F.col(f"`{name}`")
-    if kind_of(dtype) == "time":
-        return (F.unix_micros(c.cast("timestamp")) / 1e6).cast("double")
-    c = c.cast("double")
-    return F.when(~F.isnan(c), c + F.lit(0.0))  # NaN counts as null; -0.0 is 0.0
+    if isinstance(dtype, TIMES):
+        return "long", F.unix_micros(c.cast("timestamp")), 1e6
+    if isinstance(dtype, T.FloatType | T.DoubleType):
+        c = c.cast("double")
+        return "double", F.when(~F.isnan(c), c + F.lit(0.0)), 1.0  # NaN counts as null; -0.0 is 0.0
+    if isinstance(dtype, T.DecimalType):
+        if dtype.precision > 18:
+            return f"decimal({dtype.precision},{dtype.scale})", c, 1.0
+        return "long", (c * F.lit(10**dtype.scale).cast("decimal(19,0)")).cast("long"), 10.0**dtype.scale
+    if isinstance(dtype, NUMBERS):
+        return "number"
+    if isinstance(dtype, T.StringType):
+        return "string"
+    if isinstance(dtype, T.BooleanType):
+        return "boolean"
+    return "time" if isinstance(dtype, TIMES) else None
 
 
-def _text(name: str):
-    return F.col(f"`{name}`").cast("string")
+def _key(name: str, dtype: T.DataType) -> tuple[str, Column, float]:
+    """(how the column is counted, its exact value, what to divide it by): double, long, text, or a decimal type of over 18 digits."""
+    c = F.col(f"`{name}`")
+    if isinstance(dtype, TIMES):
+        return "long", F.unix_micros(c.cast("timestamp")), 1e6
+    if isinstance(dtype, T.FloatType | T.DoubleType):
+        c = c.cast("double")
+        return "double", F.when(~F.isnan(c), c + F.lit(0.0)), 1.0  # NaN counts as null; -0.0 is 0.0
+    if isinstance(dtype, T.DecimalType):
+        whole = c.cast("decimal(38,18)") if dtype.precision - dtype.scale > 20 else c
+        unscaled = (whole * F.lit(10**dtype.scale).cast("decimal(38,0)")).cast("decimal(38,0)")
+        return ("long", unscaled.cast("long"), 10.0**dtype.scale) if dtype.precision <= 18 else ("wide", F.expr(f"cast(replace(cast(`{name}` as string), '.', '') as decimal(38,0))"), 10.0**dtype.scale)
+    if isinstance(dtype, NUMBERS):
+        return "long", c.cast("long"), 1.0
+    return "text", c.cast("string"), 1.0
 
 
 def form_of(value):
@@ -61,62 +100,100 @@ def form_of(value):
     return F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", "a"), "[0-9]+", "9")
 
 
-def _long(df: DataFrame, load: str, cells: dict, value: str) -> DataFrame:
-    """(load_id, column_name, value) of all non-null cells, by an Expand in the scan's stage."""
-    wide = df.select(F.col(f"`{load}`").cast("long").alias("load_id"), *[c.alias(n) for n, c in cells.items()])
-    return wide.unpivot("load_id", list(cells), "column_name", value).where(F.col(value).isNotNull())
-
-
-def _basics(df: DataFrame, load: str, numbers: dict, texts: dict) -> DataFrame:
-    """Per (load, column): rows, non-null count and range, from one scan with map-side combining."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate([*numbers.values(), *texts.values()]):
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-    wide = df.groupBy(F.col(f"`{load}`").cast("long").alias("load_id")).agg(*aggs)
-    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
-    cells = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            F.col(f"n{i}").alias("n"),
-            *(
-                (F.col(f"lo{i}").alias("min_number"), F.col(f"hi{i}").alias("max_number"), none_s.alias("min_text"), none_s.alias("max_text"))
-                if name in numbers
-                else (none_d.alias("min_number"), none_d.alias("max_number"), F.col(f"lo{i}").alias("min_text"), F.col(f"hi{i}").alias("max_text"))
-            ),
-        )
-        for i, name in enumerate([*numbers, *texts])
-    ]
-    return wide.select("load_id", "rows", F.inline(F.array(*cells)))
+def _counted(df: DataFrame, load: str, cells: dict[int, Column]) -> DataFrame:
+    """(load_id, column, value, cnt) of all non-null cells, by an Expand in the scan's stage and a combine before the shuffle."""
+    wide = df.select(F.col(f"`{load}`").cast("long").alias("load_id"), *[c.alias(str(i)) for i, c in cells.items()])
+    long = wide.unpivot("load_id", [str(i) for i in cells], "column", "value").where(F.col("value").isNotNull())
+    return long.groupBy("load_id", F.col("column").cast("int").alias("column"), "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _pieces(cells: dict, base_of: dict):
-    """A function that turns the sorted values of range partitions into counts and curve pieces."""
+def _keys(counted: DataFrame, how: str, scale: dict[int, float]) -> DataFrame:
+    """The counts with fixed-width sort keys: num, then big and low where doubles can't tell values apart."""
+    v, zero = F.col("value"), F.lit(0).cast("long")
+    if how == "text":
+        num, big, low = F.lit(0.0), F.xxhash64(v), F.xxhash64(F.lit(7), v)
+    else:
+        by = F.lit(1.0)
+        for i, x in scale.items():
+            by = F.when(F.col("column") == i, F.lit(x)).otherwise(by) if x != 1.0 else by
+        num = v.cast("double") / by
+        if how.startswith("decimal"):  # told apart exactly, in the order of doubles
+            big, low = F.xxhash64(v), F.xxhash64(F.lit(7), v)
+        else:
+            big, low = zero if how == "double" else v, zero
+    return counted.select("load_id", "column", num.alias("num"), big.alias("big"), low.alias("low"), "cnt")
 
-    def piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
-        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["load_id", "column_name", "num", "cnt"])])
+
+def _pieces(totals: dict, base_of: dict, numbers: set[int]):
+    """A function that turns the sorted counts of range partitions into pieces, stretch by stretch."""
+
+    def stretch(rows: list[np.ndarray], seq: int, pid: int) -> list[tuple]:
+        loads, columns, nums, bigs, lows, cnts = rows
         out = []
-        for column, part in rows.groupby("column_name", sort=False):
-            of = {int(k): (g["num"].to_numpy(float), g["cnt"].to_numpy(np.int64)) for k, g in part.groupby("load_id")}
-            empty = (np.empty(0), np.empty(0, np.int64))
-            for load, (nums, cnts) in of.items():
-                out.append((load, column, pid, False, int(cnts.sum()), 0, len(nums), 0, None, None, nums, cnts))
+        edges = [0, *(np.flatnonzero(columns[1:] != columns[:-1]) + 1).tolist(), len(columns)]
+        for a, b in zip(edges, edges[1:]):
+            column, num = int(columns[a]), nums[a:b]
+            new = (num[1:] != num[:-1]) | (bigs[a + 1 : b] != bigs[a : b - 1]) | (lows[a + 1 : b] != lows[a : b - 1])
+            at = np.concatenate([[0], np.cumsum(new)])  # values by number, in order
+            order = np.argsort(loads[a:b], kind="stable")
+            names, starts = np.unique(loads[a:b][order], return_index=True)
+            of = {int(k): order[i:j] for k, i, j in zip(names, starts, [*starts[1:], len(order)])}
+            none = np.empty(0, np.int64)
+            for load, held in of.items():
+                c = cnts[a:b][held]
+                base = totals.get((base_of.get(load), column))
+                v = num[held]
+                outside = int(c[(v < base[1]) | (v > base[2])].sum()) if column in numbers and base else 0
+                keep_values = column in numbers
+                out.append((load, column, pid, seq, False, int(c.sum()), 0, len(held), outside, None, None, None, v if keep_values else None, c if keep_values else None))
             for load, base in base_of.items():
-                total, base_total = cells.get((load, column)), cells.get((base, column))
-                if (load not in of and base not in of) or not total or not base_total or not total[0] or not base_total[0]:
+                mine, theirs = totals.get((load, column)), totals.get((base, column))
+                if not mine or not theirs or (load not in of and base not in of):
                     continue
-                (nums, cnts), (bnums, bcnts) = of.get(load, empty), of.get(base, empty)
-                mine, theirs = np.concatenate([[0], np.cumsum(cnts)]), np.concatenate([[0], np.cumsum(bcnts)])
-                # Between two values of the load its curve is level and the baseline's only rises, so the extremes
-                # lie at the load's values, just before them, and at the ends of the partition.
-                after = mine[1:] / total[0] - theirs[np.searchsorted(bnums, nums, "right")] / base_total[0]
-                before = mine[:-1] / total[0] - theirs[np.searchsorted(bnums, nums, "left")] / base_total[0]
-                d = np.concatenate([[0.0], after, before, [mine[-1] / total[0] - theirs[-1] / base_total[0]]])
-                outside = int(cnts[(nums < base_total[1]) | (nums > base_total[2])].sum())
-                out.append((load, column, pid, True, int(mine[-1]), int(theirs[-1]), 0, outside, d.min(), d.max(), None, None))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in PIECE.split(", ")])
-
-    return piece
+                l, r = of.get(load, none), of.get(base, none)
+                u = np.unique(np.concatenate([at[l], at[r]]))
+                x, y = np.zeros(len(u)), np.zeros(len(u))
+                x[np.searchsorted(u, at[l])] = cnts[a:b][l]
+                y[np.searchsorted(u, at[r])] = cnts[a:b][r]
+                step_x, step_y = x / mine[0], y / theirs[0]
+                d = np.cumsum(x) / mine[0] - np.cumsum(y) / theirs[0]
+                out.append((load, column, pid, seq, True, int(x.sum()), int(y.sum()), 0, 0, min(0.0, d.min()), max(0.0, d.max()), float(np.abs(step_x - step_y).sum()), None, None))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, seq = TaskContext.get().partitionId(), 0
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def cut(final: bool):
+            nonlocal held, size, seq
+            rows = [np.concatenate(x) for x in zip(*held)]
+            end = len(rows[0])
+            if not final:  # rows of one value stay together
+                same = np.ones(end - 1, bool)
+                for x in rows[1:5]:
+                    same &= x[1:] == x[:-1]
+                breaks = np.flatnonzero(~same)
+                if not len(breaks):
+                    held = [rows]
+                    return None
+                end = int(breaks[-1]) + 1
+            found = stretch([x[:end] for x in rows], seq, pid)
+            seq += 1
+            rest = [x[end:] for x in rows]
+            held, size = ([rest] if len(rest[0]) else []), len(rest[0])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), PIECE_ARROW.types)], schema=PIECE_ARROW)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                size += batch.num_rows
+                if size >= STRETCH and (made := cut(False)) is not None:
+                    yield made
+        if held:
+            yield cut(True)
+
+    return run
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -130,28 +207,21 @@ def _at_ranks(nums: pd.Series, cnts: pd.Series, ranks: pd.Series) -> pd.Series:
 
 
 def _quantiles(pieces: DataFrame, points: list[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles by (load_id, column_name), array in the order of ``points``."""
-    w = Window.partitionBy("load_id", "column_name")
-    loads = pieces.where("not pair")
-    placed = loads.select(
-        "load_id",
-        "column_name",
-        "pid",
-        "n",
-        F.sum("n").over(w).alias("total"),
-        (F.sum("n").over(w.orderBy("pid")) - F.col("n")).alias("before"),
-    )
+    """Exact linear-interpolated quantiles by (load_id, column), array in the order of ``points``."""
+    keys = ["load_id", "column", "pid", "seq"]
+    w = Window.partitionBy("load_id", "column")
+    loads = pieces.where("not pair and nums is not null")
+    placed = loads.select(*keys, "n", F.sum("n").over(w).alias("total"), (F.sum("n").over(w.orderBy("pid", "seq")) - F.col("n")).alias("before"))
     ranks = []
     for p in points:
         at = F.lit(float(p)) * (F.col("total") - 1)
         ranks += [F.floor(at).cast("long"), F.ceil(at).cast("long")]
     placed = placed.withColumn("ranks", F.transform(F.array(*ranks), lambda r: r - F.col("before")))
-    holding = placed.where(F.exists("ranks", lambda r: (r >= 0) & (r < F.col("n"))))
-    found = holding.join(loads.select("load_id", "column_name", "pid", "nums", "cnts"), ["load_id", "column_name", "pid"]).select(
-        "load_id", "column_name", "total", _at_ranks("nums", "cnts", "ranks").alias("at")
-    )
+    # At most two stretches a point, load and column: the bound of max_cells holds here too.
+    holding = F.broadcast(placed.where(F.exists("ranks", lambda r: (r >= 0) & (r < F.col("n")))).select(*keys, "total", "ranks"))
+    found = loads.select(*keys, "nums", "cnts").join(holding, keys).select("load_id", "column", "total", _at_ranks("nums", "cnts", "ranks").alias("at"))
     k = range(2 * len(points))
-    flat = found.groupBy("load_id", "column_name").agg(F.max("total").alias("total"), *[F.max(F.col("at")[i]).alias(f"v{i}") for i in k])
+    flat = found.groupBy("load_id", "column").agg(F.max("total").alias("total"), *[F.max(F.col("at")[i]).alias(f"v{i}") for i in k])
 
     def between(i: int, p: float):
         lo, hi, at = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), F.lit(float(p)) * (F.col("total") - 1)
@@ -159,30 +229,43 @@ def _quantiles(pieces: DataFrame, points: list[float]) -> DataFrame:
             return (lo + hi) / 2.0
         return lo + (hi - lo) * (at - F.floor(at))
 
-    return flat.select("load_id", "column_name", F.array(*[between(i, p) for i, p in enumerate(points)]).alias("quantiles"))
+    return flat.select("load_id", "column", F.array(*[between(i, p) for i, p in enumerate(points)]).alias("quantiles"))
 
 
-def _ks(pieces: DataFrame) -> DataFrame:
-    """Exact Kolmogorov-Smirnov distance and count of values outside the baseline's range, by load and column."""
-    w = Window.partitionBy("load_id", "column_name")
-    pairs = pieces.where("pair").select("load_id", "column_name", "pid", "n", "n_base", "low", "high", "outside")
-    up = w.orderBy("pid")
-    shifted = pairs.select(
-        "load_id",
-        "column_name",
-        "low",
-        "high",
-        "outside",
-        (
-            (F.sum("n").over(up) - F.col("n")) / F.sum("n").over(w) - (F.sum("n_base").over(up) - F.col("n_base")) / F.sum("n_base").over(w)
-        ).alias("shift"),
-    )
-    return shifted.groupBy("load_id", "column_name").agg(
-        F.max(F.greatest(F.abs(F.col("shift") + F.col("low")), F.abs(F.col("shift") + F.col("high")))).alias("ks"),
-        F.sum("outside").alias("n_outside"),
+def _distances(pieces: DataFrame) -> DataFrame:
+    """Exact Kolmogorov-Smirnov distance and half the sum of the shares' differences, by load and column."""
+    w = Window.partitionBy("load_id", "column")
+    up = w.orderBy("pid", "seq")
+    pairs = pieces.where("pair")
+    shift = (F.sum("n").over(up) - F.col("n")) / F.sum("n").over(w) - (F.sum("n_base").over(up) - F.col("n_base")) / F.sum("n_base").over(w)
+    shifted = pairs.select("load_id", "column", "low", "high", "moved", shift.alias("shift"))
+    return shifted.groupBy("load_id", "column").agg(
+        F.max(F.greatest(F.abs(F.col("shift") + F.col("low")), F.abs(F.col("shift") + F.col("high")))).alias("ks"), (F.sum("moved") / 2.0).alias("moved")
     )
 
 
+def _forms(values: DataFrame, base_of: DataFrame) -> DataFrame:
+    """Per (load_id, column): usual form and its count, the baseline's usual form and its counts in both."""
+    keys = ["load_id", "column"]
+    forms = keep(values.groupBy(*keys, form_of(F.col("value")).alias("form")).agg(F.sum("cnt").alias("cnt")), "profile-forms")
+    # The most frequent form, of equal ones the first: the greatest count first, then only the forms that have it.
+    most = forms.groupBy(*keys).agg(F.max("cnt").alias("cnt"))
+    top = keep(forms.join(F.broadcast(most), [*keys, "cnt"]).groupBy(*keys).agg(F.min("form").alias("form"), F.max("cnt").alias("top_cnt")), "profile-top")
+    usual = base_of.join(top.select(F.col("load_id").alias("base_id"), "column", F.col("form").alias("base_form"), F.col("top_cnt").alias("base_form_cnt")), "base_id")
+    held = F.broadcast(usual).join(forms.select(*keys, F.col("form").alias("base_form"), F.col("cnt").alias("held")), [*keys, "base_form"])
+    own = top.select(*keys, "form", "top_cnt")
+    theirs = usual.select(*keys, "base_form", "base_form_cnt")
+    return _measures([own, theirs, held.select(*keys, F.col("held").alias("base_form_held"))], keys)
+
+
+def _measures(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Tables of one row per key side by side: one shuffle, where joins would take one each."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [c for c in every.columns if c not in keys]
+    simple = {f.name for f in every.schema if not isinstance(f.dataType, T.ArrayType)}
+    return every.groupBy(*keys).agg(*[(F.max(c) if c in simple else F.max(F.struct(F.col(c).isNotNull().alias("some"), F.col(c).alias("x")))["x"]).alias(c) for c in names])
+
+
 def quality_profile(
     df: DataFrame,
     loads: DataFrame,
@@ -200,93 +283,68 @@ def quality_profile(
     load. Columns of nested or binary type are not profiled, nor those in ``skip``; further columns of
     any name are profiled like the rest. An empty table gives no row. Drift measures are null where
     the load has no baseline or one of both has no non-null value. Ties of the most frequent form go
-    to the first in code point order. ``max_cells`` bounds loads times columns; beyond it an error says so.
+    to the first in code point order. Integers, times and decimals of up to 18 digits are compared exactly;
+    longer decimals are told apart exactly and ordered as doubles. Ranges and quantiles are given as doubles. ``max_cells`` bounds loads times columns; beyond it an error says so.
     """
+    spark = df.sparkSession
     kinds = {f.name: k for f in df.schema if f.name not in {load, *skip} and (k := kind_of(f.dataType))}
-    types = {f.name: f.dataType for f in df.schema}
+    names, types = list(kinds), {f.name: f.dataType for f in df.schema}
     df = df.where(F.col(f"`{load}`").isNotNull())
-    numbers = {n: _number(n, types[n]) for n, k in kinds.items() if k in ("number", "time")}
-    texts = {n: _text(n) for n, k in kinds.items() if k in ("string", "boolean")}
-
-    basics = keep(_basics(df, load, numbers, texts), "profile-basics")
-    pairs = loads.select(F.col(load).cast("long").alias("load_id"), F.col(baseline).cast("long").alias("base_id")).where(
-        "load_id is not null"
-    ).groupBy("load_id").agg(F.max("base_id").alias("base_id"))
+    groups: dict[str, dict[int, Column]] = {}
+    scale: dict[int, float] = {}
+    for i, name in enumerate(names):
+        how, value, scale[i] = _key(name, types[name])
+        groups.setdefault(how, {})[i] = value
+    numbers = {i for how, cells in groups.items() if how != "text" for i in cells}
+    keys = ["load_id", "column"]
+
+    counted = {how: keep(_counted(df, load, cells), f"profile-{how}") for how, cells in groups.items()}
+    ranged = {how: _keys(c, how, scale) for how, c in counted.items()}
+    sizes = df.groupBy(F.col(f"`{load}`").cast("long").alias("load_id")).agg(F.count(F.lit(1)).alias("rows"))
+    each = sizes.select("load_id", "rows", F.explode(F.array(*[F.lit(i) for i in range(len(names))]) if names else F.array().cast("array<int>")).alias("column"))
+    totals = [each]
+    for how, rows in ranged.items():
+        if how == "text":
+            totals.append(counted[how].groupBy(*keys).agg(F.sum("cnt").alias("n"), F.min("value").alias("min_text"), F.max("value").alias("max_text")))
+        else:
+            totals.append(rows.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.min("num").alias("min_number"), F.max("num").alias("max_number")))
+    basics = _measures(totals, keys)
+    for name, dtype in (("n", "long"), ("min_number", "double"), ("max_number", "double"), ("min_text", "string"), ("max_text", "string")):
+        if name not in basics.columns:
+            basics = basics.withColumn(name, F.lit(None).cast(dtype))
+    basics = keep(basics.withColumn("n", F.coalesce("n", F.lit(0))), "profile-basics")
+    pairs = loads.select(F.col(load).cast("long").alias("load_id"), F.col(baseline).cast("long").alias("base_id")).where("load_id is not null")
+    pairs = pairs.groupBy("load_id").agg(F.max("base_id").alias("base_id"))
     base_of = {r.load_id: r.base_id for r in small(pairs.where("base_id is not null"), max_cells, "loads")}
-    cells = {
-        (r.load_id, r.column_name): (r.n, r.min_number, r.max_number)
-        for r in small(basics.where("min_number is not null").select("load_id", "column_name", "n", "min_number", "max_number"), max_cells, "loads times columns")
-    }
+    held = small(basics.select(*keys, "n", "min_number", "max_number"), max_cells, "loads times columns")
+    total_of = {(r.load_id, r.column): (r.n, r.min_number, r.max_number) for r in held if r.n}
 
-    keys = ["load_id", "column_name"]
-    parts = []
-    if numbers:
-        counted = _long(df, load, numbers, "num").groupBy(*keys, "num").agg(F.count(F.lit(1)).alias("cnt"))
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = counted.repartitionByRange(n, "column_name", "num").sortWithinPartitions("column_name", "num")
-        pieces = keep(ranged.mapInPandas(_pieces(cells, base_of), PIECE), "profile-pieces")
-        number_part = (
-            pieces.where("not pair")
-            .groupBy(*keys)
-            .agg(F.sum("n_distinct").alias("n_distinct"))
-            .join(_quantiles(pieces, list(points) if 0.5 in points else [*points, 0.5]), keys)
-            .join(_ks(pieces), keys, "left")
-        )
-        parts.append(number_part)
-    if texts:
-        values = keep(_long(df, load, texts, "str").groupBy(*keys, "str").agg(F.count(F.lit(1)).alias("cnt")), "profile-values")
-        forms = values.groupBy(*keys, form_of(F.col("str")).alias("form")).agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n_values"))
-        forms = keep(forms, "profile-forms")
-        per = forms.groupBy(*keys).agg(F.sum("n_values").alias("n_distinct"), F.max("cnt").alias("top_cnt"))
-        top = (
-            forms.join(per.select(*keys, F.col("top_cnt").alias("cnt")), [*keys, "cnt"])
-            .groupBy(*keys)
-            .agg(F.min("form").alias("form"), F.max("cnt").alias("top_cnt"))
-        )
-        usual = pairs.where("base_id is not null").join(
-            top.select(F.col("load_id").alias("base_id"), "column_name", F.col("form").alias("base_form"), F.col("top_cnt").alias("base_form_cnt")),
-            "base_id",
-        )
-        held = usual.join(
-            forms.select(*keys, F.col("form").alias("base_form"), F.col("cnt").alias("base_form_held")), [*keys, "base_form"], "left"
-        ).select(*keys, "base_form", "base_form_cnt", F.coalesce("base_form_held", F.lit(0)).alias("base_form_held"))
-        # Only columns of few values in both loads are compared value by value: at most few_values rows each.
-        narrow = per.where(F.col("n_distinct") <= few_values).select(*keys)
-        shares = (
-            values.join(narrow, keys, "left_semi")
-            .join(basics.select(*keys, "n"), keys)
-            .select(*keys, "str", (F.col("cnt") / F.col("n")).alias("share"))
-        )
-        narrow_pairs = (
-            pairs.where("base_id is not null")
-            .join(narrow, "load_id")
-            .join(narrow.withColumnRenamed("load_id", "base_id"), ["base_id", "column_name"])
-        )
-        mine = narrow_pairs.join(shares, keys).select(*keys, "str", F.col("share").alias("a"), F.lit(0.0).alias("b"))
-        theirs = narrow_pairs.join(shares.withColumnRenamed("load_id", "base_id"), ["base_id", "column_name"]).select(
-            *keys, "str", F.lit(0.0).alias("a"), F.col("share").alias("b")
-        )
-        distance = (
-            mine.unionByName(theirs)
-            .groupBy(*keys, "str")
-            .agg(F.abs(F.sum("a") - F.sum("b")).alias("d"))
-            .groupBy(*keys)
-            .agg((F.sum("d") / 2.0).alias("share_distance"))
-        )
-        parts.append(per.drop("top_cnt").join(top, keys).join(held, keys, "left").join(distance, keys, "left"))
-
-    measured = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    used = list(points) if 0.5 in points else [*points, 0.5]
+    parts = [basics]
+    if ranged:
+        order = ["column", "num", "big", "low"]
+        rows = reduce(DataFrame.unionByName, ranged.values()).select("load_id", *order, "cnt")
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(c.count() for c in counted.values()) // RANGE_ROWS))
+        # The range exchange samples its input; that reads the counts again, not the table.
+        pieces = keep(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_pieces(total_of, base_of, numbers), PIECE), "profile-pieces")
+        parts.append(pieces.where("not pair").groupBy(*keys).agg(F.sum("n_distinct").alias("n_distinct"), F.sum("outside").alias("n_outside")))
+        parts += [_quantiles(pieces, used), _distances(pieces)]
+    if "text" in counted:
+        parts.append(_forms(counted["text"], pairs.where("base_id is not null")))
+    measured = _measures(parts, keys)
     for name, dtype in (
-        ("quantiles", "array<double>"), ("ks", "double"), ("n_outside", "long"), ("form", "string"), ("top_cnt", "long"),
-        ("base_form", "string"), ("base_form_cnt", "long"), ("base_form_held", "long"), ("share_distance", "double"),
+        ("n_distinct", "long"), ("n_outside", "long"), ("quantiles", "array<double>"), ("ks", "double"), ("moved", "double"), ("form", "string"), ("top_cnt", "long"),
+        ("base_form", "string"), ("base_form_cnt", "long"), ("base_form_held", "long"),
     ):
         if name not in measured.columns:
             measured = measured.withColumn(name, F.lit(None).cast(dtype))
-    kind = F.create_map(*[F.lit(x) for item in kinds.items() for x in item]) if kinds else F.lit(None)
-    used = list(points) if 0.5 in points else [*points, 0.5]
-    one = basics.join(measured, keys, "left").select(
-        *keys,
-        kind[F.col("column_name")].alias("kind"),
+    label = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    kind = F.array(*[F.lit(kinds[n]) for n in names]) if names else F.array().cast("array<string>")
+    number = F.get(kind, F.col("column")).isin("number", "time")
+    one = measured.where("rows is not null").select(
+        "load_id",
+        F.get(label, F.col("column")).alias("column_name"),
+        F.get(kind, F.col("column")).alias("kind"),
         "rows",
         "n",
         (1.0 - F.col("n") / F.col("rows")).alias("null_rate"),
@@ -298,17 +356,20 @@ def quality_profile(
         F.col("form").alias("usual_form"),
         (F.col("top_cnt") / F.col("n")).alias("usual_form_share"),
         (F.col("n") - F.col("top_cnt")).alias("n_off_form"),
-        "ks", "n_outside", "base_form", "base_form_cnt", "base_form_held", "share_distance",
+        F.when(number, F.col("ks")).alias("ks"), F.when(number & F.col("ks").isNotNull(), F.col("n_outside")).alias("n_outside"),
+        "base_form", "base_form_cnt", F.when(F.col("base_form").isNotNull(), F.coalesce("base_form_held", F.lit(0))).alias("base_form_held"),
+        F.when(~number, F.col("moved")).alias("moved"),
     )
     one = keep(one, "profile")  # one row per load and column; the comparison below reads it twice
     base = one.select(
         F.col("load_id").alias("base_id"), "column_name",
-        F.col("rows").alias("b_rows"), F.col("n").alias("b_n"), F.col("null_rate").alias("b_null_rate"),
+        F.col("n").alias("b_n"), F.col("null_rate").alias("b_null_rate"), F.col("n_distinct").alias("b_n_distinct"),
         F.col("uniqueness_ratio").alias("b_uniqueness_ratio"), F.col("median").alias("b_median"),
     )
+    few = (F.col("n_distinct") <= few_values) & (F.col("b_n_distinct") <= few_values)
     return (
-        one.join(pairs, "load_id", "left")
-        .join(base, ["base_id", "column_name"], "left")
+        one.join(F.broadcast(pairs), "load_id", "left")
+        .join(F.broadcast(base), ["base_id", "column_name"], "left")
         .select(
             *one.columns[:17],
             F.col("base_id").alias("baseline_load_id"),
@@ -319,7 +380,7 @@ def quality_profile(
             (F.col("uniqueness_ratio") - F.col("b_uniqueness_ratio")).alias("uniqueness_change"),
             F.when(F.col("n") > 0, F.col("base_form_held") / F.col("n") - F.col("base_form_cnt") / F.col("b_n")).alias("form_share_change"),
             F.when(F.col("n") > 0, F.col("n") - F.col("base_form_held")).alias("n_off_baseline_form"),
-            "share_distance",
+            F.when(few, F.col("moved")).alias("share_distance"),
             "ks",
         )
     )

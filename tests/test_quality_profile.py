@@ -55,3 +55,46 @@ def test_odd_tables(spark, made):
     assert len(out) == 4 and all(r.n == 0 and r.null_rate == 1.0 and r.reasons == [] for r in out)
     with pytest.raises(ValueError):
         quality_profile(df, loads, max_cells=2)
+
+
+def test_exact_integers_decimals_and_times(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    big = 2**53
+    rows = [(1, big + i, Decimal(i) / 4, Decimal(f"12345678901234567890.000000000{i}"), dt.datetime(2024, 1, 1, microsecond=i), dt.date(2024, 1, 1 + i)) for i in range(3)]
+    df = spark.createDataFrame(rows + rows[:1], "load_id long, a long, b decimal(10,2), c decimal(38,10), t timestamp, d date")
+    loads = spark.createDataFrame([(1, None)], "load_id long, baseline_load_id long")
+    got = {r.column_name: r for r in quality_profile(df, loads).collect()}
+    assert {k: r.n_distinct for k, r in got.items()} == dict.fromkeys("abctd", 3)
+    assert got["b"].median == 0.125 and got["b"].max_number == 0.5
+
+
+def test_shares_and_curves_over_many_stretches(spark, monkeypatch):
+    """Small stretches and ranges give what large ones give."""
+    from lodestock.operators import quality_profile as q
+
+    rng = np.random.default_rng(9)
+    rows = [(load, int(rng.integers(0, 40 + 9 * load)), "abcdefgh"[int(rng.integers(0, 5 + load))], float(rng.normal(load, 3))) for load in (1, 2, 3) for _ in range(700)]
+    df = spark.createDataFrame(rows, "load_id long, k int, s string, x double")
+    loads = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "load_id long, baseline_load_id long")
+    whole = {(r.load_id, r.column_name): r for r in quality_profile(df, loads).collect()}
+    monkeypatch.setattr(q, "STRETCH", 17)
+    monkeypatch.setattr(q, "RANGE_ROWS", 200)
+    parts = {(r.load_id, r.column_name): r for r in quality_profile(df, loads).collect()}
+    data = {(n, c): np.array([r[i] for r in rows if r[0] == n]) for n in (1, 2, 3) for i, c in ((1, "k"), (2, "s"), (3, "x"))}
+    for key, r in parts.items():
+        assert (r.n_distinct, r.quantiles, r.n) == (whole[key].n_distinct, whole[key].quantiles, whole[key].n) and r.n_distinct == len(set(data[key].tolist()))
+        if key[0] > 1:
+            mine, base = data[key], data[key[0] - 1, key[1]]
+            if key[1] == "s":
+                assert np.isclose(r.share_distance, sum(abs(np.mean(mine == v) - np.mean(base == v)) for v in "abcdefgh") / 2)
+            else:
+                assert np.isclose(r.ks, ks(mine, base)) and np.isclose(r.ks, whole[key].ks)
+
+
+def test_clashing_and_odd_column_names(spark):
+    rows = [(1, 1, "a", 1.5, [1]), (2, 2, None, None, [2])]
+    df = spark.createDataFrame(rows, "load_id long, n int, value string, column double, `a.b` array<int>")
+    got = {(r.load_id, r.column_name): r.n for r in quality_profile(df, spark.createDataFrame([(2, 1)], "load_id long, baseline_load_id long")).collect()}
+    assert got == {(1, "n"): 1, (1, "value"): 1, (1, "column"): 1, (2, "n"): 1, (2, "value"): 0, (2, "column"): 0}
