@@ -120,6 +120,16 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.span_pairs(*spans.shared_spans(table(spark, folder, "documents")))
 
 
+def p8_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of equal texts with a common span; frequent spans as stars."""
+    return spans.span_links(spans.shared_spans(table(spark, folder, "documents"))[1])
+
+
+def p8_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every document that can hold a span, with the number of copies and links."""
+    return spans.span_members(*spans.shared_spans(table(spark, folder, "documents")))
+
+
 def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each document stands in others."""
     docs = table(spark, folder, "documents")
@@ -129,7 +139,7 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_sample, p1_report, p1_totals, p2_found, p2_frequencies, p5_found, p5_unmatched, p6_ids, p7_found, p7_report, p7_order, p8_found, p8_coverage,
+        p1_found, p1_sample, p1_report, p1_totals, p2_found, p2_frequencies, p5_found, p5_unmatched, p6_ids, p7_found, p7_report, p7_order, p8_found, p8_links, p8_members, p8_coverage,
     )
 }
 
@@ -154,6 +164,14 @@ with terms as ({" union all ".join(_TERMS.format(f) for f in TYPED)}),
 n as ({" union all ".join(f"select '{f}' field, count(distinct product_id) n from laptops where {f} is not null" for f in TYPED)})
 select field, term from terms join n using (field) group by field, term, n
 having count(distinct product_id) < 3 or count(distinct product_id) > 0.40 * n""",
+    # All windows of all texts, as they stand.
+    "p8_found": """
+with t as materialized (select doc_id, text, length(text) n from documents where length(text) >= 150),
+c as materialized (select doc_id, substring(text, 1 + (k - 1) * 2000, 2149) chunk from t, unnest(range(1, 2 + n // 2000)) u(k)),
+w as materialized (select doc_id, substring(chunk, i::bigint, 150) span from c, unnest(range(1, least(2000, length(chunk) - 149) + 1)) u(i)),
+s as materialized (select span from w group by span having min(doc_id) < max(doc_id)),
+m as materialized (select distinct span, doc_id from w semi join s using (span))
+select distinct a.doc_id doc_a, b.doc_id doc_b from m a join m b on a.span = b.span and a.doc_id < b.doc_id""",
     "p2_frequencies": f"""
 with terms as ({" union all ".join(_TERMS.format(f) for f in TYPED)}),
 cells as ({" union all ".join(f"select '{f}' field, product_id, {f} term from laptops where {f} is not null" for f in TYPED)}),
