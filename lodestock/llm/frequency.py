@@ -3,7 +3,7 @@
 1. Cells are reduced to (field, value, record) counts, so a value or a record that holds a third of
    all rows is small before anything is split into terms.
 2. Terms are partitioned by the first bits of their hash. A histogram shows which of these cells hold
-   more than ``task_rows``; they are split by the next bits, and what is still too large (in effect one
+   more than ``task_rows``, or more than a quarter of an even share of a task; they are split by the next bits, and what is still too large (in effect one
    hot term) by bits of the record's hash, since counts of distinct records add up over disjoint sets.
 3. The shuffle brings each leaf of that radix tree to one task, leaf after leaf. A task feeds DuckDB until
    it holds about ``task_rows``, aggregates them and goes on: what it holds doesn't grow with its input.
@@ -117,20 +117,21 @@ def term_frequencies(
     rows = values.unionByName(terms).withColumn("h", F.xxhash64("field", "kind", "term"))
     rows = rows.withColumn("cell", F.shiftrightunsigned("h", 64 - BITS))
     sizes = {r.cell: r.n for r in small(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), 1 << BITS, "cells")}
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) // (8 * task_rows)))
+    limit = max(1, min(task_rows, sum(sizes.values()) // (4 * parts)))  # no leaf is much of a task either
     below = F.shiftrightunsigned("h", 64 - 2 * BITS).bitwiseAND((1 << BITS) - 1)
-    large = sorted(c for c, n in sizes.items() if n > task_rows)
+    large = sorted(c for c, n in sizes.items() if n > limit)
     if large:  # at most 2**BITS cells
         split = spark.createDataFrame([(c,) for c in large], "cell long")
         inner = rows.join(F.broadcast(split), "cell").withColumn("sub", below).groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n"))
-        # At most one row per task_rows of the input.
-        hot = inner.where(F.col("n") > task_rows).select("cell", "sub", F.ceil(F.col("n") / task_rows).cast("long").alias("splits"))
+        # At most one row per limit rows of the input.
+        hot = inner.where(F.col("n") > limit).select("cell", "sub", F.ceil(F.col("n") / limit).cast("long").alias("splits"))
         rows = rows.join(F.broadcast(split.withColumn("split", F.lit(True))), "cell", "left").withColumn("sub", F.when(F.col("split"), below).otherwise(F.lit(0)))
         rows = rows.join(F.broadcast(keep(hot, "hot-terms")), ["cell", "sub"], "left")
         part = F.pmod(F.xxhash64("record"), F.coalesce("splits", F.lit(1)))
         leaves = rows.withColumn("leaf", F.xxhash64("cell", "sub", part))
     else:
         leaves = rows.withColumnRenamed("cell", "leaf")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) // (8 * task_rows)))
     sent = leaves.select("leaf", "field", "kind", "term", "record", "n").repartition(parts, "leaf").sortWithinPartitions("leaf")
     partial = sent.mapInArrow(_aggregate(shared_root(spark), task_rows), PARTIAL)
     total = base.where("record is not null").groupBy("field", "record").count().groupBy("field").agg(F.count(F.lit(1)).alias("all_records"))
