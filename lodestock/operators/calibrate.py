@@ -9,12 +9,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestock.fixed import PRUNED_VALUES
 from lodestock.model import Bracket, ConstraintSpec
 from lodestock.operators.predicates import mask
 from lodestock.sources.shared import small
 
-#: Texts that are no values.
-GARBAGE = ("", "unknown", "none", "n/a", "na", "nan", "null", "undefined", "other", "-")
 
 
 def candidates(df: DataFrame, registry: list[ConstraintSpec]) -> list[tuple[str, Any, Column]]:
@@ -42,7 +41,7 @@ def hit_rates(df: DataFrame, registry: list[ConstraintSpec], per_scan: int = 60)
     return reduce(DataFrame.unionByName, parts)
 
 
-def pruned(rates: DataFrame, least: float = 0.005, garbage: tuple[str, ...] = GARBAGE) -> DataFrame:
+def pruned(rates: DataFrame, least: float = 0.005, garbage: tuple[str, ...] = PRUNED_VALUES) -> DataFrame:
     """Values worth sampling: no garbage and matching at least a share of rows."""
     return rates.where(~F.lower(F.trim("value")).isin(*garbage) & (F.coalesce("rate", F.lit(0.0)) >= least))
 

@@ -8,9 +8,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestock.fixed import UNUSABLE_VALUES
 from lodestock.functions.text import human
 from lodestock.model import AttributeSpec, ConstraintSpec
-from lodestock.operators.calibrate import GARBAGE
+from lodestock.operators.quantiles import exact_quantiles
 
 #: Attribute type of each inferred kind.
 KINDS = {
@@ -32,16 +33,16 @@ def covering_values(freq: DataFrame, target: float = 0.90, least: int = 3, tail:
 
 def sampling_points(df: DataFrame, column: Column, points: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), precision: int = 0) -> DataFrame:
     """(point): distinct rounded percentiles of a number, in order."""
-    q = F.percentile(column, F.array(*[F.lit(float(p)) for p in points]))
-    return df.agg(q.alias("q")).select(F.explode(F.array_sort(F.array_distinct(F.transform("q", lambda x: human(x, precision))))).alias("point"))
+    q = exact_quantiles(df, {"x": column}, list(points))
+    return q.select(F.explode(F.array_sort(F.array_distinct(F.transform("q", lambda x: human(x, precision))))).alias("point"))
 
 
 def date_points(df: DataFrame, column: Column, points: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """(point): distinct percentiles of a time as ISO dates (UTC)."""
     seconds = (F.unix_micros(column.cast("timestamp")) / 1e6).cast("double")
-    q = F.percentile(seconds, F.array(*[F.lit(float(p)) for p in points]))
+    q = exact_quantiles(df, {"x": seconds}, list(points))
     days = F.transform("q", lambda x: F.date_format(F.timestamp_seconds(F.bround(x, 0)), "yyyy-MM-dd"))
-    return df.agg(q.alias("q")).select(F.explode(F.array_sort(F.array_distinct(days))).alias("point"))
+    return q.select(F.explode(F.array_sort(F.array_distinct(days))).alias("point"))
 
 
 def sanitised(values: DataFrame, column: str = "value") -> DataFrame:
@@ -50,7 +51,7 @@ def sanitised(values: DataFrame, column: str = "value") -> DataFrame:
     obj = F.try_parse_json(v)
     inner = F.coalesce(*[F.try_variant_get(obj, f"$.{k}", "string") for k in ("text", "value", "name")])
     clean = F.when(F.startswith(v, F.lit("{")) & (F.trim(inner) != ""), F.trim(inner)).otherwise(v)
-    return values.withColumn(column, clean).where(F.col(column).isNotNull() & ~F.lower(F.col(column)).isin(*GARBAGE))
+    return values.withColumn(column, clean).where(F.col(column).isNotNull() & ~F.lower(F.col(column)).isin(*UNUSABLE_VALUES))
 
 
 def derive_attribute(name: str, kind: str, null_rate: float, role: str, vocabulary: list[str] | None = None) -> AttributeSpec:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Texts that describe nothing.
-EMPTY_WORDS = ("", "n/a", "na", "none", "null", "nan", "unknown", "not specified", "-")
+from lodestock.fixed import EMPTY_DESCRIPTIONS
 
 
 def usable(df: DataFrame, text: str) -> DataFrame:
     """Rows with a text that says something."""
     t = F.lower(F.trim(F.col(text)))
-    return df.where((F.length(t) > 0) & ~t.isin(*EMPTY_WORDS))
+    return df.where((F.length(t) > 0) & ~t.isin(*EMPTY_DESCRIPTIONS))
 
 
 def canonical_first(long: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
@@ -24,10 +23,17 @@ def canonical_first(long: DataFrame, mapping: DataFrame, order: str) -> DataFram
 def key_tiers(long: DataFrame, share: float = 0.95) -> DataFrame:
     """(attr, n, tier): tier 1 holds the most frequent keys until ``share`` of all values is covered, the crossing key included."""
     n = long.groupBy("attr").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("n").desc(), "attr")  # one row per key, not per value
-    before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all_")))).withColumn("before", F.coalesce(before, F.lit(0)))
-    return rows.select("attr", "n", F.when(F.col("before") < F.lit(share) * F.col("all_"), 1).otherwise(2).alias("tier"))
+    # Keys of one count stand together: their sums are few rows, and only keys of the count in which the share is
+    # reached need an order among themselves.
+    sizes = n.groupBy("n").agg((F.count(F.lit(1)) * F.col("n")).alias("own"))
+    w = Window.orderBy(F.col("n").desc())
+    placed = sizes.withColumns({"upto": F.sum("own").over(w), "all_": F.sum("own").over(Window.partitionBy(F.lit(0)))}).withColumn("before", F.col("upto") - F.col("own"))
+    need = F.lit(share) * F.col("all_")
+    rows = n.join(placed, "n")
+    apart = rows.where((F.col("before") >= need) | (F.col("upto") <= need)).select("attr", "n", F.when(F.col("before") < need, 1).otherwise(2).alias("tier"))
+    place = F.row_number().over(Window.partitionBy("n").orderBy("attr")) - 1
+    crossing = rows.where((F.col("before") < need) & (F.col("upto") > need)).select("attr", "n", F.when(F.col("before") + place * F.col("n") < need, 1).otherwise(2).alias("tier"))
+    return apart.unionByName(crossing)
 
 
 def key_samples(long: DataFrame, k: int = 12) -> DataFrame:

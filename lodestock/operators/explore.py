@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lodestock.model import ConstraintSpec
 from lodestock.operators.predicates import NUMERIC, constraint_filter, number
+from lodestock.operators.quantiles import quantile_row
 
 
 def visible(df: DataFrame) -> DataFrame:
@@ -74,11 +75,9 @@ def list_values_similar(df: DataFrame, column: str, query: str, least: float = 0
 def describe_number(df: DataFrame, column: str) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max of a number column."""
     x = number(F.col(f"`{column}`"), df.schema[column].dataType)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-        q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max"),
-    )
+    q = quantile_row(df, {"x": x}, {"x": [("p25", 0.25), ("p50", 0.5), ("p75", 0.75)]})
+    rest = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return rest.crossJoin(F.broadcast(q)).select("n", "mean", "std", "min", "p25", "p50", "p75", "max")  # one row each
 
 
 def details(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
@@ -115,10 +114,8 @@ def summary(df: DataFrame, numbers: list[str], categories: list[str], top: int =
 def catalog_stats(df: DataFrame, price: str, distinct: list[str]) -> DataFrame:
     """One row: count, min, max and median of the price, distinct counts, null counts."""
     p = number(F.col(price), df.schema[price].dataType)
-    return df.agg(
-        F.count(F.lit(1)).alias("n"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.percentile(p, F.lit(0.5)).alias("median_price"),
-        *[F.countDistinct(c).alias(f"n_{c}") for c in distinct],
-    )
+    rest = df.agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), *[F.countDistinct(c).alias(f"n_{c}") for c in distinct])
+    return rest.crossJoin(F.broadcast(quantile_row(df, {"p": p}, {"p": [("median_price", 0.5)]})))  # one row each
 
 
 def schema_hints(df: DataFrame) -> list[tuple[str, str]]:

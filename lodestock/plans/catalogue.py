@@ -10,7 +10,7 @@ from lodestock.model import ConstraintSpec, Preference
 from lodestock.operators import evaluate as E
 from lodestock.operators import explore, policies, scoring, search
 from lodestock.operators.predicates import constraint_filter
-from lodestock.plans.common import CAT, ORACLES, POOLS, RECS, RECS_ALL, TASKS, catalog, query, recs, recs_all, tasks25
+from lodestock.plans.common import CAT, POOLS, RECS, TASKS, catalog, query, recs, tasks25
 from lodestock.sources.shared import keep
 from lodestock.sources.tables import table
 
@@ -66,14 +66,8 @@ def x_list_values_query(spark, folder):
     return explore.list_values_matching(table(spark, folder, "games"), "genres", "AC", "game_id")
 
 
-@query("select p_partkey, unnest(['p_name', 'p_brand', 'p_size']) as label, unnest([p_name, p_brand, p_size::varchar]) as value, unnest([0, 1, 2])::int place from part where p_partkey <= 20")
-def x_details_unpivot(spark, folder):
-    """Details as (label, value) rows."""
-    return explore.details(table(spark, folder, "part").where("p_partkey <= 20"), "p_partkey", ["p_name", "p_brand", "p_size"])
-
-
 @query("select * from (select p_partkey, unnest(['p_name', 'p_brand', 'p_size']) as label, unnest([p_name, p_brand, p_size::varchar]) as value, unnest([0, 1, 2])::int place from part) where value is not null")
-def x_details_unpivot_all(spark, folder):
+def x_details_unpivot(spark, folder):
     """Details of every part as (label, value) rows."""
     return explore.details(table(spark, folder, "part"), "p_partkey", ["p_name", "p_brand", "p_size"])
 
@@ -113,19 +107,10 @@ def c_text_normalise(spark, folder):
     return table(spark, folder, "laptops").select("listing_id", X.squeeze(F.col("name")).alias("plain"), X.strip_prefix(F.col("brand")).alias("unprefixed"))
 
 
-@query(r"""select game_id, case when price = 0 then 'Free to Play' else '$' || printf('%.2f', price) end price_label,
-  case when len(g) > 3 then array_to_string(g[1:3], ', ') || ' (+' || (len(g) - 3)::varchar || ' more)' when len(g) > 0 then array_to_string(g, ', ') end genre_label
-  from (select *, list_filter(genres, lambda x: x is not null) g from games) where price < 1000""")
-def c_formatting(spark, folder):
-    """Prices and shortened lists as text."""
-    g = table(spark, folder, "games").where("price < 1000")
-    return g.select("game_id", X.price(F.col("price")).alias("price_label"), X.short_list(F.col("genres")).alias("genre_label"))
-
-
 @query(r"""select game_id, case when price = 0 then 'Free to Play' when price is not null then '$' || printf('%,.2f', price) end price_label,
   case when len(g) > 3 then array_to_string(g[1:3], ', ') || ' (+' || (len(g) - 3)::varchar || ' more)' when len(g) > 0 then array_to_string(g, ', ') end genre_label
   from (select *, list_filter(genres, lambda x: x is not null) g from games)""")
-def c_formatting_all(spark, folder):
+def c_formatting(spark, folder):
     """Prices, whatever their size or absent, and shortened lists of every game as text."""
     return table(spark, folder, "games").select("game_id", X.price(F.col("price")).alias("price_label"), X.short_list(F.col("genres")).alias("genre_label"))
 
@@ -249,47 +234,6 @@ def g_difficulty_rollup(spark, folder):
     return out.select("difficulty", "n_tasks", F.round("reward", 6).alias("reward"), F.round("csr", 6).alias("csr"))
 
 
-def _whole(sql):
-    """The SQL of a query over the first five recommendations, over all of them."""
-    return sql.replace(RECS, RECS_ALL)
-
-
-@query(_whole(ORACLES["w_reward"]))
-def w_reward_all(spark, folder):
-    """Reward of all of each task's recommendations."""
-    out = E.rewards(recs_all(spark, folder), _pools(spark, folder))
-    return out.select("task_id", F.round("best", 6).alias("best"), F.round("reward", 6).alias("reward"))
-
-
-@query(_whole(ORACLES["w_csr"]))
-def w_csr_all(spark, folder):
-    """Constraint satisfaction of all of each task's recommendations."""
-    r, pools = recs_all(spark, folder), _pools(spark, folder)
-    out = E.satisfaction(r, _violating(r, pools), catalog(spark, folder), id_column="p_partkey")
-    return out.withColumn("csr", F.round("csr", 6))
-
-
-@query(_whole(ORACLES["w_ndcg"]))
-def w_ndcg_all(spark, folder):
-    """NDCG of all of each task's recommendations; only ndcg_1, _3 and _5 cut the list."""
-    out = E.ranking_metrics(recs_all(spark, folder), _pools(spark, folder))
-    return out.select("task_id", "num_recommendations", *[F.round(c, 6).alias(c) for c in ("ndcg_1", "ndcg_3", "ndcg_5", "ndcg_n")])
-
-
-@query(_whole(ORACLES["w_graded_prf"]))
-def w_graded_prf_all(spark, folder):
-    """Graded precision, recall and F1 of all of each task's recommendations."""
-    out = E.ranking_metrics(recs_all(spark, folder), _pools(spark, folder))
-    return out.select("task_id", *[F.round(c, 6).alias(c) for c in ("graded_precision", "graded_recall", "graded_f1")])
-
-
-@query(_whole(ORACLES["g_difficulty_rollup"]))
-def g_difficulty_rollup_all(spark, folder):
-    """Results of all recommendations over all tasks and by difficulty."""
-    out = E.by_difficulty(_results(spark, folder, recs_all(spark, folder)), ["reward"], ["csr"])
-    return out.select("difficulty", "n_tasks", F.round("reward", 6).alias("reward"), F.round("csr", 6).alias("csr"))
-
-
 def _trials(spark, folder):
     """Each user's events as trials: the value is the reward, a purchase a success."""
     e = table(spark, folder, "events")
@@ -348,10 +292,13 @@ def a_random_hash(spark, folder):
     return policies.random_k(_pools(spark, folder), 3)
 
 
-@query(f"with {CAT}, {TASKS}, {POOLS} select task_id from tasks25 where task_id not in (select task_id from pools)")
+@query(f"with {CAT}, {TASKS}, {POOLS} select task_id + 100 * hard task_id from (select *, unnest([0, 1]) hard from tasks25) where task_id not in (select task_id from pools) or hard = 1")
 def a_infeasible(spark, folder):
-    """Tasks without a satisfying product."""
-    return policies.infeasible_tasks(tasks25(spark, folder), _pools(spark, folder))
+    """Tasks without a satisfying product: those that are asked for at a price below all as well."""
+    t = tasks25(spark, folder)
+    cheap = t.withColumns({"task_id": F.col("task_id") + 100, "price_max": F.lit(1.0)})
+    found = policies.task_pools(catalog(spark, folder), t.unionByName(cheap), "p_partkey", {"p_retailprice": "price_max", "p_size": "size_max"})
+    return policies.infeasible_tasks(t.unionByName(cheap), found.select("task_id"))
 
 
 _TOK = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(description, '')), '[^a-z0-9]+'), lambda x: length(x) >= 2))"

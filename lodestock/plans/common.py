@@ -40,10 +40,8 @@ CAT = """cat as (select p.*, n_sold, qty_sold, avg_disc, string_split(p_name, '
 #: 25 tasks made from the nations: bounds, tier and recommended parts follow from the key.
 TASKS = """tasks25 as (select n_nationkey task_id, 910.0::double + 3 * n_nationkey price_max, 10 + n_nationkey size_max,
   case n_nationkey % 5 when 0 then 'small' when 1 then 'medium' when 2 then 'large' when 3 then 'oc_feasible' else 'oc_infeasible' end difficulty from nation)"""
-RECS = """recs as (select task_id, pos, p_partkey pid from (select p_partkey % 25 task_id, p_partkey,
-  row_number() over (partition by p_partkey % 25 order by p_partkey) pos from part) where pos <= 5)"""
-#: The same without the cut: every part is a recommendation of its task.
-RECS_ALL = """recs as (select p_partkey % 25 task_id, row_number() over (partition by p_partkey % 25 order by p_partkey) pos, p_partkey pid from part)"""
+#: Every part is a recommendation of its task.
+RECS = """recs as (select p_partkey % 25 task_id, row_number() over (partition by p_partkey % 25 order by p_partkey) pos, p_partkey pid from part)"""
 #: Pools with utility: the lower price counts 2/3, the higher sales 1/3, scaled over the pool.
 POOLS = """pool0 as (select task_id, difficulty, p_partkey pid, p_retailprice price, coalesce(n_sold, null)::double sold from cat join tasks25 on p_retailprice <= price_max and p_size <= size_max),
 pool1 as (select *, min(price) over w plo, max(price) over w phi, min(sold) over w slo, max(sold) over w shi from pool0 window w as (partition by task_id)),
@@ -57,14 +55,9 @@ def tasks25(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "nation").select(k.alias("task_id"), (F.lit(910.0) + k * 3).alias("price_max"), (k + 10).alias("size_max"), tier.alias("difficulty"))
 
 
-def recs_all(spark: SparkSession, folder: str) -> DataFrame:
+def recs(spark: SparkSession, folder: str) -> DataFrame:
     """Every part as a recommendation of its task."""
     from pyspark.sql import Window
 
     p = table(spark, folder, "part").select((F.col("p_partkey") % 25).alias("task_id"), F.col("p_partkey").alias("pid"))
     return p.withColumn("pos", F.row_number().over(Window.partitionBy("task_id").orderBy("pid")))
-
-
-def recs(spark: SparkSession, folder: str) -> DataFrame:
-    """The first five recommendations of each task, as RECS has them."""
-    return recs_all(spark, folder).where("pos <= 5")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from lodestock import fixed
 from lodestock.model import Bracket, ConstraintSpec
 from lodestock.operators import assembly, calibrate, configgen, desc, profile, resolve, tasks
 from lodestock.plans.common import CAT, TASKS, catalog, query, tasks25
+from lodestock.sources.shared import new_path
 from lodestock.sources.tables import table
 from lodestock.streaming import results
 
@@ -107,28 +107,6 @@ def g_null_unique(spark, folder):
     return profile.null_unique(table(spark, folder, "games"), ["name", "genres", "peak_ccu"])
 
 
-def _profiles(spark, folder, name):
-    return profile.profile_columns(table(spark, folder, name))
-
-
-@query()
-def g_kind_tags(spark, folder):
-    """Inferred kind and tags of every column of three tables; rules in Python over one row of aggregates, tested apart."""
-    rows = [(t, p.name, p.kind, ",".join(p.tags), ",".join(p.details.get("siblings", []))) for t in ("laptops", "cars", "games") for p in _profiles(spark, folder, t)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, kind string, tags string, siblings string")
-
-
-@query()
-def g_triage_rules(spark, folder):
-    """Columns that the triage rules drop, with the reason, and the table's score."""
-    rows = []
-    for t in ("laptops", "cars", "games"):
-        ps = _profiles(spark, folder, t)
-        score = profile.assess(ps)
-        rows += [(t, c, why, score["score"], score["verdict"]) for c, why in profile.triage(ps).items()]
-    return spark.createDataFrame(rows, "table_name string, column_name string, reason string, score int, verdict string")
-
-
 REGISTRY = [
     ConstraintSpec("price_max", "price", "lte", sampling_values=[600, 800, 1000, 1500]),
     ConstraintSpec("ram_min", "ram_gb", "gte", sampling_values=[8, 16, 32]),
@@ -326,11 +304,34 @@ def g_attr_values(spark, folder):
     return desc.attribute_values(_described(spark, folder))
 
 
-@query("select distinct anchor from (select metadata.anchor_product_id anchor from tasks where domain = 'laptops') where anchor is not null and anchor not in (select product_id from laptops where product_id is not null)")
+@query("select distinct domain, anchor from (select domain, metadata.anchor_product_id anchor from tasks) where anchor is not null and anchor not in (select product_id from laptops where product_id is not null)")
 def j_anti_missing(spark, folder):
-    """Anchors that the catalogue lacks."""
-    a = table(spark, folder, "tasks").where("domain = 'laptops'").select(F.col("metadata.anchor_product_id").alias("anchor")).where("anchor is not null").distinct()
-    return a.join(table(spark, folder, "laptops").select(F.col("product_id").alias("anchor")), "anchor", "left_anti")
+    """Anchors of tasks, of any domain, that the catalogue of laptops lacks."""
+    a = table(spark, folder, "tasks").select("domain", F.col("metadata.anchor_product_id").alias("anchor")).where("anchor is not null").distinct()
+    return a.join(table(spark, folder, "laptops").select(F.col("product_id").alias("anchor")), "anchor", "left_anti").select("domain", "anchor")
+
+
+_OUT = ", ".join(f"'{w}'" for w in fixed.UNUSABLE_VALUES)
+
+
+@query(f"""with v as (select trim(e.value) v from (select unnest(map_entries(user_profile.hard_constraints)) e from tasks) union all select '{{"lang": "fr", "text": " ' || brand || ' "}}' from laptops union all select '{{"x": 1}}'),
+c as (select case when starts_with(v, '{{') and trim(coalesce(json_extract_string(v, '$.text'), '')) <> '' then trim(json_extract_string(v, '$.text')) else v end as value from v where v is not null)
+select value, count(*) n from c where lower(value) not in ({_OUT}) group by 1""")
+def c_sanitised(spark, folder):
+    """Sampling values without those that are none; JSON objects by their text."""
+    t = table(spark, folder, "tasks").select(F.explode("user_profile.hard_constraints").alias("k", "value")).select("value")
+    b = table(spark, folder, "laptops").select(F.concat(F.lit('{"lang": "fr", "text": " '), "brand", F.lit(' "}')).alias("value"))
+    rows = t.unionByName(b).unionByName(spark.createDataFrame([('{"x": 1}',)], "value string"))
+    return configgen.sanitised(rows).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EMPTY = ", ".join(f"'{w}'" for w in fixed.EMPTY_DESCRIPTIONS)
+
+
+@query(f"select car_id, market_category from cars where length(trim(market_category)) > 0 and lower(trim(market_category)) not in ({_EMPTY})")
+def f_usable_text(spark, folder):
+    """Rows whose text says something."""
+    return desc.usable(table(spark, folder, "cars"), "market_category").select("car_id", "market_category")
 
 
 @query("select p_partkey, coalesce(n, 0) n from part left join (select l_partkey, count(*) n from lineitem where l_quantity >= 45 group by 1) on l_partkey = p_partkey")
@@ -347,18 +348,11 @@ def j_semi(spark, folder):
     return table(spark, folder, "laptops").select("product_id").distinct().join(table(spark, folder, "documents").select("product_id"), "product_id", "left_semi")
 
 
-@query("""with n as (select distinct unnest(['engine_hp', 'engine_cylinders', 'eng', 'vehicle_size', 'vehicle', 'id']) as name) select a.name, b.name as sibling from n a, n b where a.name <> b.name and least(length(a.name), length(b.name)) >= 3 and (starts_with(a.name, b.name) or starts_with(b.name, a.name))""")
-def j_prefix_siblings(spark, folder):
-    """Columns of which one name begins with the other."""
-    names = ["engine_hp", "engine_cylinders", "eng", "vehicle_size", "vehicle", "id"]
-    return spark.createDataFrame([(n, s) for n in names for s in profile.siblings(n, names)], "name string, sibling string")
-
-
-@query("select distinct make from cars where make is not null except select distinct make from cars where year >= 2020 and make is not null")
+@query("select distinct model from cars where model is not null except select distinct model from cars where year >= 2015 and model is not null")
 def u_except(spark, folder):
     """Set difference."""
-    c = table(spark, folder, "cars").where("make is not null")
-    return c.select("make").subtract(c.where("year >= 2020").select("make"))
+    c = table(spark, folder, "cars").where("model is not null")
+    return c.select("model").subtract(c.where("year >= 2015").select("model"))
 
 
 @query("select distinct brand from laptops where ram_gb >= 32 intersect select distinct brand from laptops where price < 700 and not isnan(price)")
@@ -429,8 +423,8 @@ def x_stream_results(spark, folder):
     """The same windows as a stream that reads what there is and stops."""
     schema = table(spark, folder, "events").schema
     stream = results.event_time(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_as_folder(folder, "events")))
-    results.run_available(results.tumbling(stream, "1 day", "event_type"), "x_stream_results", tempfile.mkdtemp(prefix="stream-"))
-    return spark.table("x_stream_results").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    found = results.run_available(results.tumbling(stream, "1 day", "event_type"), new_path(spark, "stream"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 def _as_folder(folder: str, name: str) -> str:

@@ -1,13 +1,15 @@
 """Intermediate tables in the folder that all executors share.
 
 A stage whose result is read more than once, or must not change when an executor is lost, is
-written as Parquet below ``spark.checkpoint.dir``. Only where that setting is missing (tests, a
-single machine) a folder of this process is used instead.
+written as Parquet below ``spark.checkpoint.dir``. Only where that setting is missing and the master is
+local (tests, a single machine) a folder of this process is used instead; on a cluster it is an error,
+since a folder of one machine would lose what others write.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_kept: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,6 +25,8 @@ def shared_root(spark: SparkSession) -> str:
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _own is None:
             _own = tempfile.mkdtemp(prefix="lodestock-")
             atexit.register(shutil.rmtree, _own, True)
@@ -38,6 +43,7 @@ def keep(df: DataFrame, label: str = "stage", *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it (cuts the lineage)."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    _kept.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -45,6 +51,15 @@ def keep(df: DataFrame, label: str = "stage", *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete the tables that ``keep`` wrote so far, once what was made of them has been read or written; how many there were."""
+    n = len(_kept)
+    while _kept:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
+
+
 def small(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table that must be small by its nature; refuses to take more than ``limit``."""
     rows = df.limit(limit + 1).collect()

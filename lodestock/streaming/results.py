@@ -37,6 +37,15 @@ def dedup(events: DataFrame, key: str, time: str = "ts", late: str = "1 day") ->
     return event_time(events, time, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> None:
-    """Everything there is now into the in-memory table ``name``."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Everything there is now into a table below ``path``, with the stream's checkpoint beside it; returns a reader of it.
+
+    Each micro-batch overwrites (complete) or adds to the table (append), so nothing passes through the driver.
+    """
+    table = f"{path}/table"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(table)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(table)

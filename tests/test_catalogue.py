@@ -50,17 +50,17 @@ def test_sampling_fits_the_bracket(items):
 def test_kinds_tags_and_triage(spark):
     df = spark.createDataFrame(
         [(i, None, i % 2, float(i), f"w{i % 3}", "long " * 40, [i], f"2020-01-{i % 28 + 1:02d}", "same", i * 1e9 + 2e9, 1) for i in range(40)],
-        "item_id int, gone string, flag int, whole double, word string, prose string, tags array<int>, day string, photo_url string, edited_t double, tags_n int",
+        "item_id int, gone string, flag int, whole double, word string, prose string, tags array<int>, day string, photo_url string, last_updated_t double, tags_n int",
     ).withColumn("day", F.to_date("day"))
     ps = {p.name: p for p in profile.profile_columns(df, batch=4)}
     kinds = {n: p.kind for n, p in ps.items()}
     assert kinds == {
         "item_id": "int_numeric", "gone": "all_null", "flag": "bool", "whole": "int_numeric", "word": "string_categorical", "prose": "string_long_text",
-        "tags": "list_of_values", "day": "datetime", "photo_url": "string_categorical", "edited_t": "int_numeric", "tags_n": "bool",
+        "tags": "list_of_values", "day": "datetime", "photo_url": "string_categorical", "last_updated_t": "int_numeric", "tags_n": "bool",
     }
     assert "candidate_identifier_column" in ps["item_id"].tags and ps["tags"].details["siblings"] == ["tags_n"] and ps["word"].n_unique == 3
     why = profile.triage(list(ps.values()))
-    assert why["gone"] == "all null" and why["prose"] == "constant column" and why["edited_t"] == "audit timestamp" and why["word"] is None
+    assert why["gone"] == "all null" and why["prose"] == "constant column" and why["last_updated_t"] == "audit timestamp" and why["word"] is None
     assert 1 <= profile.assess(list(ps.values()))["score"] <= 10 and profile.assess([])["verdict"] == "poor"
     assert all(p.kind == "all_null" for p in profile.profile_columns(df.limit(0)))
 
