@@ -145,5 +145,13 @@ def test_streams_agree_with_batch(spark, tmp_path):
     rows = [(f"t{i}", "easy" if i % 2 else "hard", i / 10) for i in range(20)]
     df = spark.createDataFrame(rows, "task_id string, difficulty string, reward double")
     readers.write_results(df, str(tmp_path / "in"))
-    results.run_available(results.live_difficulty(results.result_stream(spark, str(tmp_path / "in"), df.schema)), "live", str(tmp_path / "cp"))
-    assert {tuple(r) for r in spark.table("live").collect()} == {tuple(r) for r in results.live_difficulty(df).collect()}
+    live = results.run_available(results.live_difficulty(results.result_stream(spark, str(tmp_path / "in"), df.schema)), str(tmp_path / "live"))
+    assert {tuple(r) for r in live.collect()} == {tuple(r) for r in results.live_difficulty(df).collect()}
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    df = spark.createDataFrame([("t1", "easy", 0.5)], "task_id string, difficulty string, reward double")
+    for n in (1, 2):
+        readers.write_results(df, str(tmp_path / "in"), append=True)
+        live = results.run_available(results.live_difficulty(results.result_stream(spark, str(tmp_path / "in"), df.schema)), str(tmp_path / "live"))
+        assert [tuple(r) for r in live.collect()] == [("easy", n, 0.5)]
