@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestock.fixed import PRUNED_VALUES
 from lodestock.model import Bracket, ConstraintSpec
 from lodestock.operators.predicates import mask
-from lodestock.sources.shared import small
+from lodestock.sources.shared import keep
 
 
 
@@ -75,7 +75,8 @@ def signatures(df: DataFrame, masks: list[Column]) -> DataFrame:
 class PoolIndex:
     """Pool sizes of any conjunction of known (constraint, value) pairs, from the counts of signatures.
 
-    The scan happens once; the number of different signatures is checked before they come to the driver.
+    The scan happens once. Signatures come to the driver if there are at most ``max_signatures``; more stay a table in
+    the shared folder, and each size is a filtered sum over it.
     """
 
     def __init__(self, df: DataFrame, registry: list[ConstraintSpec], max_signatures: int = 200_000):
@@ -84,10 +85,18 @@ class PoolIndex:
         groups = [self.found[i : i + 62] for i in range(0, len(self.found), 62)]
         keys = [reduce(lambda a, b: a + b, [F.when(m, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, _, m) in enumerate(g)]).alias(f"s{k}") for k, g in enumerate(groups)]
         counts = df.select(*keys).groupBy(*[f"s{k}" for k in range(len(groups))]).agg(F.count(F.lit(1)).alias("n"))
-        self.rows = [(sum(int(r[k]) << (62 * k) for k in range(len(groups))), int(r["n"])) for r in small(counts, max_signatures, "signatures")]
+        self.words, self.table = len(groups), None
+        few = counts.limit(max_signatures + 1).collect()
+        self.rows = [(sum(int(r[k]) << (62 * k) for k in range(self.words)), int(r["n"])) for r in few]
+        if len(few) > max_signatures:
+            self.rows, self.table = [], keep(counts, "signatures")
 
     def size(self, constraints: dict[str, Any]) -> int:
         want = sum(1 << self.bit[(n, str(v))] for n, v in constraints.items())
+        if self.table is not None:
+            parts = [F.lit(want >> (62 * k) & (1 << 62) - 1) for k in range(self.words)]
+            held = reduce(lambda a, b: a & b, [F.col(f"s{k}").bitwiseAND(p) == p for k, p in enumerate(parts)])
+            return self.table.where(held).agg(F.sum("n")).first()[0] or 0
         return sum(n for s, n in self.rows if s & want == want)
 
 

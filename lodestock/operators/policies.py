@@ -19,7 +19,10 @@ def task_pools(catalog: DataFrame, tasks: DataFrame, id_column: str, upper: dict
 
     ``upper`` maps a catalogue column to the task's column with its upper bound, ``lower`` likewise; a null
     bound constrains nothing, a null value fails a bound. Tasks go in blocks by hash of about ``max_tasks``.
+    Columns that both sides have are an error: the result could not tell them apart.
     """
+    if clash := sorted(set(catalog.columns) & set(tasks.columns)):
+        raise ValueError(f"catalogue and tasks both have {', '.join(clash)}")
     cond = F.lit(True)
     for columns, below in ((upper, True), (lower or {}, False)):
         for c, b in columns.items():

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lodestock.model import Preference
 from lodestock.operators.predicates import TEMPORAL, missing, number
+from lodestock.sources.shared import keep
 
 
 def weights(n: int) -> list[float]:
@@ -88,10 +89,22 @@ def score_pool(pool: DataFrame, preferences: list[Preference], by: list[str] | N
 
 
 def ranked(scored: DataFrame, id_column: str, by: list[str] | None = None) -> DataFrame:
-    """With ``position`` (ties by id) and ``best`` (ties with the highest utility)."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("utility").desc(), F.col(id_column))
-    top = F.max("utility").over(Window.partitionBy(*(by or [F.lit(0)])))
-    return scored.withColumn("position", F.row_number().over(w)).withColumn("best", F.col("utility") == top)
+    """With ``position`` (ties by id) and ``best`` (ties with the highest utility).
+
+    Without ``by`` the whole pool is one order: it is range-sorted, and positions are those within a range plus the
+    sizes of the ranges before it, so no task sees all of it.
+    """
+    order = [F.col("utility").desc(), F.col(id_column)]
+    if by:
+        top = F.max("utility").over(Window.partitionBy(*by))
+        return scored.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("best", F.col("utility") == top)
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep(scored.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranked")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.max("utility").alias("_top"))
+    w = Window.orderBy("_range")  # one row a range
+    before = sizes.select("_range", (F.sum("_n").over(w) - F.col("_n")).cast("int").alias("_before"), F.max("_top").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_top"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_range").withColumns({"position": F.col("_before") + inside, "best": F.col("utility") == F.col("_top")}).drop("_range", "_before", "_top")
 
 
 def best_set(scored: DataFrame, id_column: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestock import fixed
 from lodestock.functions import plugins
 from lodestock.model import Bracket
-from lodestock.operators import calibrate, evaluate, joins, profile, tasks
+from lodestock.operators import benchmark, calibrate, evaluate, joins, profile, tasks
 from lodestock.plans.common import query
 from lodestock.sources.shared import new_path
 from lodestock.sources.tables import table
@@ -251,3 +251,54 @@ def j_prefix_siblings(spark, folder):
     b = a.withColumnRenamed("name", "sibling")
     long = F.least(F.length("name"), F.length("sibling")) >= 3
     return a.join(b, "table_name").where((F.col("name") != F.col("sibling")) & long & (F.startswith("name", F.col("sibling")) | F.startswith("sibling", F.col("name")))).select("table_name", "name", "sibling")
+
+
+_DOMAINS = {"laptops": ("listing_id", "price", "num_reviews"), "cars": ("car_id", "msrp", "popularity"), "games": ("game_id", "price", "recommendations")}
+
+
+def _benchmark_sql(domain: str) -> str:
+    """The benchmark over products and tasks as they stand, one by one."""
+    key, price, popular = _DOMAINS[domain]
+    plain = "coalesce(try_cast({0} as double)::varchar, lower(trim({0})))"
+    attributes = {"laptops": {"brand": "s", "storage_type": "s", "os_version": "s", "price": "n", "ram_gb": "n", "gpu_type": "s", "touchscreen": "b", "weight_kg": "n"}, "cars": {"transmission_type": "s", "driven_wheels": "s", "msrp": "n", "make": "s", "year": "n"}}[domain]
+    text = "case attribute " + " ".join(f"when '{a}' then lower({a}::varchar)" for a, k in attributes.items() if k != "n") + " end"
+    value = "case attribute " + " ".join(f"when '{a}' then (case when isnan({a}::double) then null else {a}::double end)" for a, k in attributes.items() if k == "n") + " end"
+    return f"""with pairs as (select distinct name, attribute, operator, unnest(sampling_values) v from constraint_specs where domain = '{domain}' and operator is not null and not coalesce(desc_constraint, false)),
+q as (select *, {plain.format("v")} p from pairs where v is not null and attribute in ({", ".join(f"'{a}'" for a in attributes)})),
+t as (select task_id, arg_max(difficulty, (ingested_at, difficulty)) difficulty, arg_max(infeasible, (ingested_at, difficulty)) infeasible, arg_max(user_profile.hard_constraints, (ingested_at, difficulty)) c from tasks where domain = '{domain}' and task_id is not null group by 1),
+e as (select task_id, unnest(map_entries(c)) e from t), asked as (select distinct task_id, name, v from e join q on q.name = e.key and q.p = {plain.format("e.value")}),
+sets as (select task_id, coalesce(list_sort(list(name || '=' || v) filter (where name is not null)), []) s from t left join asked using (task_id) group by 1), each as (select distinct s from sets),
+sat as (select {key} pid, q.name, q.v from {domain}, q where case when operator in ('eq', 'in_set') then coalesce({text}, '') = lower(v) when operator = 'lte' then coalesce({value} <= try_cast(v as double), false) when operator = 'gte' then coalesce({value} >= try_cast(v as double), false) else false end),
+need as (select s, unnest(s) x from each), hit as (select s, pid from need join sat on name || '=' || v = x group by s, pid having count(*) = any_value(len(s)) union all select s, {key} from each, {domain} where len(s) = 0),
+prod as (select {key} pid, case when isnan({price}::double) then null else {price}::double end price, {popular} pop from {domain}),
+pool as (select s, count(*) n, min(price) lo, max(price) hi from hit join prod using (pid) group by 1),
+cheap as (select s, pid from hit join prod using (pid) where price is not null qualify row_number() over (partition by s order by price, pid) <= 3), top as (select pid from prod order by pop desc nulls last, pid limit 3),
+recs as (select 'cheapest' policy, s, pid from cheap union all select 'popular', s, pid from each, top),
+scored as (select policy, r.s, count(*) n, count(h.pid) good, min(case when h.pid is not null then price end) best from recs r join prod using (pid) left join hit h on h.s = r.s and h.pid = r.pid group by 1, 2),
+res as (select p.policy, difficulty, infeasible, coalesce(pool.n, 0) pool_size, case when coalesce(scored.n, 0) > 0 then good / scored.n::double else 1 end csr, case when pool.n is null then coalesce(infeasible, false)::int::double
+  when coalesce(good, 0) = 0 or best is null then 0 when hi = lo then 1 else 0.5 + 0.5 * (hi - best) / (hi - lo) end reward from t join sets using (task_id) cross join (select unnest(['cheapest', 'popular']) policy) p
+  left join pool on pool.s = sets.s left join scored on scored.s = sets.s and scored.policy = p.policy)
+select policy, d difficulty, count(*) n_tasks, count(*) filter (pool_size = 0) n_empty, round(avg(pool_size), 6) mean_pool, round(avg(csr), 6) csr, round(avg(reward), 6) reward from (select *, coalesce(difficulty, '(none)') d from res) group by grouping sets ((policy), (policy, d))"""
+
+
+def _benchmark(spark, folder, domain):
+    key, price, popular = _DOMAINS[domain]
+    registry = benchmark.registry_of(table(spark, folder, "constraint_specs"), domain)
+    tasks_of = table(spark, folder, "tasks").where(F.col("domain") == domain)
+    return benchmark.Benchmark(table(spark, folder, domain), tasks_of, registry, product=key, price=price, popularity=popular)
+
+
+def _rounded(out):
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_pool", "csr", "reward")})
+
+
+@query(_benchmark_sql("laptops"))
+def x_benchmark_laptops(spark, folder):
+    """Two policies over all tasks of a domain: catalogue, constraints, pools, rewards, report."""
+    return _rounded(_benchmark(spark, folder, "laptops").report(["cheapest", "popular"]))
+
+
+@query(_benchmark_sql("cars"))
+def x_benchmark_cars(spark, folder):
+    """The same over another domain."""
+    return _rounded(_benchmark(spark, folder, "cars").report(["cheapest", "popular"]))

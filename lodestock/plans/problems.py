@@ -54,7 +54,13 @@ def p4_values(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder, 1).select("table_name", "row_id", "pos", "value", "n_values", F.array_join("flags", ",").alias("flags"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p4_found": p4_found, "p4_values": p4_values}
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, values, distinct values and the median of every column of laptops and each load."""
+    p = _profile(spark, folder)
+    return p.select("load_id", "column_name", "rows", "n", "n_distinct", F.when(F.col("kind") == "number", F.round("median", 6)).alias("median"))
+
+
+QUERIES = {"p3_counts": p3_counts, "p3_found": p3_found, "p3_profile": p3_profile, "p4_found": p4_found, "p4_values": p4_values}
 
 
 def _drift_sql() -> str:
@@ -94,4 +100,15 @@ def _drift_sql() -> str:
     return f"with pairs as ({both}) select distinct load_id, column_name from (" + " union all ".join(found) + ")"
 
 
-ORACLES = {"p3_found": _drift_sql()}
+def _counts_sql() -> str:
+    numbers = "price ram_gb storage_gb screen_inches refresh_rate_hz weight_kg battery_hours avg_rating num_reviews".split()
+    others = "product_id name brand processor storage_type display_type gpu_type webcam_resolution os_version use_cases description touchscreen backlit_keyboard numeric_keypad scraped_at".split()
+    one = []
+    for c in [*numbers, *others]:
+        v = f"case when isnan({c}) then null else {c} end" if c in ("price", "screen_inches", "weight_kg", "battery_hours", "avg_rating") else c
+        median = f"round(median(({v})::double), 6)" if c in numbers else "null::double"
+        one.append(f"select load_id, '{c}' column_name, count(*) as rows, count({v}) n, count(distinct {v}) n_distinct, {median} as median from laptops where load_id is not null group by 1")
+    return " union all ".join(one)
+
+
+ORACLES = {"p3_found": _drift_sql(), "p3_counts": _counts_sql()}

@@ -104,3 +104,29 @@ def test_entry_without_a_library_of_the_other_queries(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "lodestock.llm.queries", None)
     assert len(entry.queries()) > 100 and not any(n.startswith("p1_") for n in entry.queries())
+
+
+def test_one_order_without_one_task(spark):
+    import random
+
+    from lodestock.operators import scoring
+
+    rng = random.Random(6)
+    rows = [(i, float(rng.randint(0, 40))) for i in range(400)]
+    got = {r.pid: (r.position, r.best) for r in scoring.ranked(spark.createDataFrame(rows, "pid int, utility double"), "pid").collect()}
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert got == {pid: (i, u == order[0][1]) for i, (pid, u) in enumerate(order, 1)}
+
+
+def test_pool_index_beyond_the_driver(spark):
+    import random
+
+    from lodestock.model import ConstraintSpec
+
+    rng = random.Random(7)
+    df = spark.createDataFrame([(float(rng.randint(1, 90)), rng.choice("abc")) for _ in range(300)], "price double, brand string")
+    registry = [ConstraintSpec("p", "price", "lte", sampling_values=list(range(1, 91))), ConstraintSpec("b", "brand", "eq", sampling_values=["a", "b"])]
+    held, spread = calibrate.PoolIndex(df, registry), calibrate.PoolIndex(df, registry, max_signatures=10)
+    assert held.table is None and spread.table is not None and not spread.rows
+    for c in ({}, {"p": 40}, {"p": 77, "b": "a"}, {"b": "b"}):
+        assert held.size(c) == spread.size(c)

@@ -96,8 +96,9 @@ def test_policies(spark):
     assert [r.pid for r in policies.oracle(hits, pools, 5).orderBy("pos").collect()] == ["a", "c", "b"]
     assert policies.random_k(pools, 2, 7).collect() == policies.random_k(pools, 2, 7).collect()
     assert policies.proportional({"a": 1, "b": 1, "c": 1}, 10) == {"a": 4, "b": 3, "c": 3} and policies.proportional({}, 3) == {}
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="task_id"):
         policies.task_pools(pools, pools.select("task_id"), "pid", {}, max_tasks=1)
+    assert policies.task_pools(pools.drop("task_id"), pools.select("task_id").distinct(), "pid", {}, max_tasks=1).count() == 3
 
 
 def test_elicitation(spark):
