@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestock.llm import canonical, frequency, mixing, sampling, spans
-from lodestock.llm.bpe import encode_texts
+from lodestock.llm.bpe import TOKENIZER, encode_texts
 from lodestock.sources.shared import keep
 from lodestock.sources.tables import table
 
 TYPED = ("processor", "gpu_type")
 
 
+def tokenizer(spark: SparkSession) -> str:
+    """File of the tokenizer, the same path on every executor: the session's ``spark.lodestock.tokenizer`` where it is set."""
+    return spark.conf.get("spark.lodestock.tokenizer", TOKENIZER)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Targets that the tasks of the plan's domain cannot meet: the draw to the target ended before it."""
     quotas, ranks, _ = _drawn(spark, folder)
@@ -86,12 +91,12 @@ def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return encode_texts(table(spark, folder, "documents"))
+    return encode_texts(table(spark, folder, "documents"), tokenizer=tokenizer(spark))
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(sources, assigned copies) of all mixes, each with the schedules of ``mixing.length_curriculum``."""
-    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), schedules=mixing.length_curriculum)
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), tokenizer=tokenizer(spark), schedules=mixing.length_curriculum)
 
 
 def _placed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
