@@ -17,6 +17,9 @@ OPERATORS = (
 ATTRIBUTE_TYPES = ("numeric", "categorical", "set_valued", "boolean", "ordinal", "text")
 
 
+# The fields of attributes and constraints are those of the configuration files and tables they are read from.
+
+
 @dataclass
 class AttributeSpec:
     name: str
@@ -100,6 +103,20 @@ class Domain:
     def attribute(self, name: str) -> AttributeSpec | None:
         return next((a for a in self.attributes if a.name == name), None)
 
+    def popularity(self) -> str | None:
+        """The attribute that stands for popularity, the first so marked."""
+        return next((a.name for a in self.attributes if a.popularity_proxy), None)
+
+    def embedding_columns(self) -> list[str]:
+        """Attributes whose text goes into a product's embedding."""
+        return [a.name for a in self.attributes if a.embedding_field]
+
+    def demoted(self, constraints: dict[str, Any]) -> tuple[dict[str, Any], list[Preference]]:
+        """(constraints that stay, preferences made of those that may be softened), priorities in the registry's order."""
+        soft = [c for c in self.constraints if c.demotable and c.name in constraints]
+        made = [Preference(c.attribute, c.soft_direction or "match", None if c.soft_direction else str(constraints[c.name]), i) for i, c in enumerate(soft, 1)]
+        return {k: v for k, v in constraints.items() if k not in {c.name for c in soft}}, made
+
     def check(self, catalog: DataFrame) -> list[str]:
         """Columns the registry names that the catalogue lacks."""
         named = {self.id_column, *(a.name for a in self.attributes), *(c.attribute for c in self.constraints if not c.desc_constraint)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestock import fixed
 from lodestock.functions import plugins
 from lodestock.model import Bracket
-from lodestock.operators import benchmark, calibrate, evaluate, joins, profile, tasks
+from lodestock.operators import benchmark, calibrate, evaluate, joins, profile, reports, tasks
 from lodestock.plans.common import query
 from lodestock.sources.shared import new_path
 from lodestock.sources.tables import table
@@ -302,3 +302,23 @@ def x_benchmark_laptops(spark, folder):
 def x_benchmark_cars(spark, folder):
     """The same over another domain."""
     return _rounded(_benchmark(spark, folder, "cars").report(["cheapest", "popular"]))
+
+
+@query("""with k as (select task_id, epoch_us(ingested_at) t, unnest(map_entries(user_profile.hard_constraints)) e from tasks),
+n as (select *, case when contains(e.key, 'max') then 'reactive: shown_wrong_' || e.key when contains(e.key, 'min') then 'proactive' else 'responsive' end tag from k)
+select task_id, t ingested_us, string_agg('- ' || e.key || ': ' || coalesce(e.value, '') || '  [' || tag || ']', chr(10) order by e.key) as lines from n group by 1, 2""")
+def m_constraint_lines(spark, folder):
+    """Constraints of each task as lines for a simulated user, with when they are told."""
+    t = table(spark, folder, "tasks").where("cardinality(user_profile.hard_constraints) > 0")
+    c = F.col("user_profile.hard_constraints")
+    modes = F.transform_values(c, lambda k, v: F.when(F.contains(k, F.lit("max")), "reactive").when(F.contains(k, F.lit("min")), "proactive").otherwise("responsive"))
+    triggers = F.transform_values(F.map_filter(c, lambda k, v: F.contains(k, F.lit("max"))), lambda k, v: F.concat(F.lit("shown_wrong_"), k))
+    return t.select("task_id", F.unix_micros("ingested_at").alias("ingested_us"), F.array_join(reports.constraint_lines(c, modes, triggers), "\n").alias("lines"))
+
+
+@query("""select coalesce(event_type, 'overall') difficulty, count(*) n, round(avg(value), 6) reward, case when grouping(event_type) = 1 then 1 else 0 end as is_all from events group by rollup (event_type)""")
+def m_ranking_table(spark, folder):
+    """Means over all results and by tier; events play the results."""
+    e = table(spark, folder, "events").select(F.col("event_type").alias("difficulty"), F.col("value").alias("reward"))
+    out = reports.ranking_table(e, ["reward"])
+    return out.select("difficulty", "n", F.round("reward", 6).alias("reward"), (F.col("difficulty") == "overall").cast("int").alias("is_all"))
