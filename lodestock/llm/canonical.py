@@ -465,12 +465,12 @@ def map_values(
 def attach(rows: DataFrame, mapped: DataFrame, total: int, share: float = 0.001) -> DataFrame:
     """``rows`` (attribute, value, ...) with the ``canon_id`` of their value.
 
-    A value of more than ``share`` of all ``total`` rows is spread: its rows meet copies of its one mapped
-    row, so no task gets more than about that share. At most 1 / share values are, and they alone are broadcast.
+    A value of more than ``share`` of all ``total`` rows is spread by a hash of the whole row (the same if a task
+    is run again): its rows meet copies of its one mapped row, so no task gets more than about that share. At most 1 / share values are, and they alone are broadcast.
     """
     most = max(1.0, total * share)
     hot = mapped.where(F.col("occurrences") > most).select("attribute", "value", F.ceil(F.col("occurrences") / most).cast("int").alias("splits"))
-    salted = rows.join(F.broadcast(hot), ["attribute", "value"], "left").withColumn("salt", F.floor(F.rand(7) * F.coalesce("splits", F.lit(1))).cast("int")).drop("splits")
+    salted = rows.join(F.broadcast(hot), ["attribute", "value"], "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("splits", F.lit(1))).cast("int")).drop("splits")
     copies = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("occurrences") / most)).cast("int") - 1)
     spread = mapped.select("attribute", "value", "canon_id", F.explode(copies).alias("salt"))
     return salted.join(spread, ["attribute", "value", "salt"]).drop("salt")
