@@ -73,7 +73,7 @@ def w_frames(spark, folder):
 def s_partitioned(spark, folder):
     """A table partitioned by a column, read back by partitions."""
     path = new_path(spark, "partitioned")
-    table(spark, folder, "lineitem").select("l_returnflag", "l_quantity").repartition("l_returnflag", F.floor(F.rand(3) * 8)).write.partitionBy("l_returnflag").parquet(path)
+    table(spark, folder, "lineitem").select("l_returnflag", "l_quantity").repartition("l_returnflag", F.pmod(F.xxhash64("l_quantity"), F.lit(8))).write.partitionBy("l_returnflag").parquet(path)
     back = spark.read.parquet(path).where(F.col("l_returnflag").isin("A", "R"))
     return back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
 
