@@ -126,12 +126,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Classes of equal texts with a common span; frequent spans as stars."""
-    return spans.span_links(spans.shared_spans(table(spark, folder, "documents"))[1])
+    """All pairs of classes of equal texts with a common span, with the number of common stretches and the longest."""
+    return spans.class_links(*spans.shared_spans(table(spark, folder, "documents")))
 
 
 def p8_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Class of every document that can hold a span, with the number of copies and links."""
+    """Class of every document that can hold a span, with the number of its copies and of the classes it shares spans with."""
     return spans.span_members(*spans.shared_spans(table(spark, folder, "documents")))
 
 

@@ -15,7 +15,9 @@ A manifest lists what there is; an index is opened again by its path.
 Frequent anchors. An anchor that more than ``hot`` classes hold isn't paired by itself, since all
 pairs would be compared. Its ``min_span - gram + 1`` whole windows are hashed instead (SHA-256), and
 classes with an equal window are a group. Each member is linked to the group's first class (a star), so
-links grow with the records and not with their square; pairs come out only where they are asked for.
+links grow with the records and not with their square; pairs come out only where they are asked for. Then
+windows that all their holders have one after another are paired as one run, and repeats of a window at even
+distances (a row of dashes) as one, so that all places of both sides meet without being listed one by one.
 """
 
 from __future__ import annotations
@@ -187,11 +189,13 @@ class Found:
     near: verified matches (class_a, class_b, start_a, start_b, length), class_a < class_b; a long span comes as several.
     stars: the same for frequent spans, each member of a group with its first class.
     groups: (w, class, fresh), the members of groups; of groups with the same members only one.
+    windows: (w, class, fresh, start), all places of the windows of frequent anchors.
     """
 
     near: DataFrame
     stars: DataFrame
     groups: DataFrame
+    windows: DataFrame
 
     def links(self) -> DataFrame:
         return self.near.unionByName(self.stars)
@@ -326,8 +330,8 @@ class SpanIndex:
         near = pairs.select("class_a", "class_b", "pos_a", "pos_b", "left_a", "left_b", "right_a", "right_b").mapInPandas(_verify(self.gram, self.min_span), MATCH)
         return Found(keep(near, "span-matches"), *self._hot(placed.where("hot")))
 
-    def _hot(self, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(stars, groups) of anchors that many classes hold: classes with equal whole windows.
+    def _hot(self, placed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(stars, groups, windows) of anchors that many classes hold: classes with equal whole windows.
 
         Every window has one anchor, so each is hashed once however often anchors repeat in a text. A
         member comes with the group's first class; the first class, and each further place, with one other.
@@ -354,7 +358,7 @@ class SpanIndex:
         )
         # Groups with the same members (the windows of one passage) need one of them only.
         one = groups.groupBy("k", "s1", "s2").agg(F.min("w").alias("w")).select("w")
-        return keep(stars.select("class_a", "class_b", "start_a", "start_b", "length"), "span-stars"), keep(per.join(one, "w").select("w", "class", "fresh"), "span-members")
+        return keep(stars.select("class_a", "class_b", "start_a", "start_b", "length"), "span-stars"), keep(per.join(one, "w").select("w", "class", "fresh"), "span-members"), windows
 
 
 def shared_spans(docs: DataFrame, *, batches: int = 3, min_span: int = 150, gram: int = 64, hot: int = 64) -> tuple[SpanIndex, Found]:
@@ -369,8 +373,8 @@ def together(found: list[Found]) -> Found:
     """What several appends of one index found."""
     near, stars = (reduce(DataFrame.unionByName, [getattr(f, k) for f in found]) for k in ("near", "stars"))
     # A window may be a group in several appends, each with the members of its time.
-    groups = reduce(DataFrame.unionByName, [f.groups.withColumn("w", F.concat(F.encode(F.lit(f"{i}:"), "utf-8"), "w")) for i, f in enumerate(found)])
-    return Found(near, stars, groups)
+    groups, windows = (reduce(DataFrame.unionByName, [getattr(f, k).withColumn("w", F.concat(F.encode(F.lit(f"{i}:"), "utf-8"), "w")) for i, f in enumerate(found)]) for k in ("groups", "windows"))
+    return Found(near, stars, groups, windows)
 
 
 def _pairs_within(members: DataFrame, group: str, item: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -408,14 +412,58 @@ def span_pairs(index: SpanIndex, found: Found) -> DataFrame:
     return pairs.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"))
 
 
+def _frequent(windows: DataFrame, min_span: int) -> DataFrame:
+    """(class_a, class_b, start_a, start_b, length), class_a < class_b: what every two classes have in common of windows of frequent anchors, at all places of both."""
+    by = Window.partitionBy("w", "class").orderBy("start")
+    placed = windows.withColumn("gap", F.col("start") - F.lag("start").over(by))
+    groups = placed.groupBy("w").agg(
+        F.min(F.struct("class", "start")).alias("lo"), F.max("class").alias("hi"), F.max("fresh").alias("any"),
+        F.min(F.when(F.col("gap") <= min_span, F.col("gap"))).alias("step"),
+    ).where("any and lo.class < hi").select("w", "lo", "step")
+    # Places of a class that follow each other by the group's step: the text from the first to the last repeats itself.
+    placed = placed.join(groups, "w").withColumn("row", F.sum(F.when(F.col("gap") == F.col("step"), 0).otherwise(1)).over(by))
+    rows = placed.groupBy("w", "class", "row").agg(F.max("fresh").alias("fresh"), F.min("start").alias("start"), F.count(F.lit(1)).cast("int").alias("times"), F.max("step").alias("step"), F.max("lo").alias("lo"))
+    rows = keep(rows, "span-rows")
+    # Windows one after another in all their classes are one run, of which the first is paired.
+    own = ("class", F.col("start") - F.col("lo.start"), "times")
+    same = ["first", "step", "k", "s1", "s2"]
+    runs = rows.groupBy("w", F.col("lo.class").alias("first"), F.col("lo.start").alias("at"), "step").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64(*own)).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), *own)).alias("s2"))
+    runs = runs.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*same).orderBy("at")))
+    runs = runs.groupBy(*same, "run").agg(F.min_by("w", "at").alias("w"), F.count(F.lit(1)).cast("int").alias("n")).select("w", "n")
+    sides = ("class", "start", "times")
+    members = rows.join(runs, "w").select("w", "class", F.struct(*sides).alias("side"), F.coalesce("step", F.lit(0)).alias("step"), "n", "fresh")
+    pairs = _pairs_within(members, "w", "class", ("side", "step", "n", "fresh")).where("fresh_a or fresh_b")
+    a, b = F.least("side_a", "side_b"), F.greatest("side_a", "side_b")
+    # Two rows of places meet at as many distances as both have places, less one.
+    pairs = pairs.select(a.alias("a"), b.alias("b"), F.col("step_a").alias("step"), F.col("n_a").alias("n")).withColumn("k", F.explode(F.expr("sequence(1 - a.times, b.times - 1)")))
+    pairs = pairs.withColumn("i", F.expr("greatest(0, -k)"))
+    length = f"(least(a.times, b.times - k) - i - 1) * step + n + {min_span - 1}"
+    return pairs.selectExpr("a.class class_a", "b.class class_b", "a.start + i * step start_a", "b.start + (i + k) * step start_b", f"{length} length")
+
+
+def class_links(index: SpanIndex, found: Found) -> DataFrame:
+    """(class_a, class_b, places, longest), class_a < class_b: all pairs of classes with a common span.
+
+    places: stretches of ``min_span`` characters or more that stand in both and are as long as they can be, each place of
+    one with each of the other; longest: characters of the longest.
+    """
+    matches = found.near.unionByName(_frequent(found.windows, index.min_span)).select("class_a", "class_b", (F.col("start_b") - F.col("start_a")).alias("shift"), "start_a", (F.col("start_a") + F.col("length")).alias("end"))
+    stretch = ["class_a", "class_b", "shift"]
+    by = Window.partitionBy(*stretch).orderBy("start_a")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    matches = matches.withColumn("new", F.coalesce(F.col("start_a") > before, F.lit(True)).cast("int")).withColumn("k", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = matches.groupBy(*stretch, "k").agg((F.max("end") - F.min("start_a")).alias("length"))
+    return whole.groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("places"), F.max("length").alias("longest"))
+
+
 def span_links(found: Found) -> DataFrame:
-    """(class_a, class_b, places, longest): classes with a common span. Members of a frequent span are linked to its first class, not all to each other."""
+    """(class_a, class_b, places, longest): matches of classes, linked as stars: members of a frequent span to its first class, not all to each other (``class_links`` has all pairs)."""
     return found.links().groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("places"), F.max("length").alias("longest"))
 
 
 def span_members(index: SpanIndex, found: Found) -> DataFrame:
-    """(doc_id, class, copies, links) of every record long enough to hold a span: its class, the records of it, the links of it."""
-    links = span_links(found)
+    """(doc_id, class, copies, links) of every record long enough to hold a span: its class, the records of it, the classes with a span in common."""
+    links = class_pairs(found)
     degree = links.select(F.col("class_a").alias("class")).unionByName(links.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
     members = index.all_members()
     size = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lodestock.llm.spans import Anchors, SpanIndex, shared_spans, span_coverage, span_links, span_members, span_pairs, together
+from lodestock.llm.spans import Anchors, SpanIndex, class_links, shared_spans, span_coverage, span_links, span_members, span_pairs, together
 
 N = 30
 
@@ -136,3 +136,48 @@ def test_frequent_spans_are_stars(spark):
             seen.add(c)
             todo += [r.class_b for r in links if r.class_a == c] + [r.class_a for r in links if r.class_b == c]
     assert seen == {r["class"] for r in held.values()}
+
+
+def common_stretches(x, y, n):
+    """Lengths of the stretches of n characters or more that stand in both, each as long as it can be."""
+    out = []
+    for shift in range(n - len(x), len(y) - n + 1):
+        run = 0
+        for i in range(max(0, -shift), min(len(x), len(y) - shift) + 1):
+            if i < min(len(x), len(y) - shift) and x[i] == y[i + shift]:
+                run += 1
+            else:
+                out += [run] if run >= n else []
+                run = 0
+    return out
+
+
+@pytest.mark.parametrize("hot,batches", [(0, 1), (2, 3), (64, 2)])
+def test_all_links_with_all_stretches(spark, hot, batches):
+    """Whether an anchor is frequent decides how its links are found, not which come out."""
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    p, q = word(80), word(70)
+    parts = [p, q, p[:45], p[30:], q[10:55], p + q, "-" * 50, "=-" * 24, "abc" * 15, p[:40] + "|" + p[41:], "x" * 70]
+    rows = [(i * 37 % 101, "".join(rng.choice(parts) + word(rng.randint(0, 9)) for _ in range(rng.randint(1, 3)))) for i in range(40)]
+    rows += [(200, rows[0][1]), (201, "-" * 120), (202, "=-" * 60), (203, "=-" * 40 + "-" * 60), (204, None)]
+    index, found = shared_spans(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches, min_span=N, gram=12, hot=hot)
+    name = {r.doc_id: r["class"] for r in index.all_members().collect()}
+    text = {name[d]: t for d, t in rows if d in name}
+    want = {(a, b): s for a in text for b in text if a < b and (s := common_stretches(text[a], text[b], N))}
+    links = class_links(index, found).collect()
+    assert {(r.class_a, r.class_b): (r.places, r.longest) for r in links} == {k: (len(s), max(s)) for k, s in want.items()} and len(links) == len(want)
+    assert {r["class"]: r.links for r in span_members(index, found).collect()} == {c: sum(c in k for k in want) for c in text}
+
+
+def test_queries_link_all_holders_of_a_passage(spark, tmp_path):
+    """70 documents with one passage, more than an anchor is paired for: p8_links and p8_members leave out no pair."""
+    from lodestock.llm import queries
+
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choice("abcdefghijkl") for _ in range(k))
+    passage = word(200)
+    spark.createDataFrame([(i, word(30) + "A" + passage + "B" + word(30)) for i in range(70)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    links = queries.p8_links(spark, str(tmp_path)).collect()
+    assert {(r.class_a, r.class_b) for r in links} == {(a, b) for a in range(70) for b in range(a + 1, 70)} and len(links) == 70 * 69 // 2
+    assert {(r.doc_id, r.links) for r in queries.p8_members(spark, str(tmp_path)).collect()} == {(i, 69) for i in range(70)}
